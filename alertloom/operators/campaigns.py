@@ -16,14 +16,6 @@ def host_roles(events: DataFrame, scope="scenario", install=None, internal_prefi
             .withColumn("is_internal", F.col("host").startswith(internal_prefix)))
 
 
-def host_report(roles: DataFrame, scope="scenario") -> DataFrame:
-    """Sorted host lists per scope: those used for matching and those left out."""
-    lists = roles.groupBy(scope).agg(
-        F.array_sort(F.collect_set(F.when(F.col("is_internal"), F.col("host")))).alias("internal_hosts"),
-        F.array_sort(F.collect_set(F.when(~F.col("is_internal"), F.col("host")))).alias("excluded_hosts"))
-    return lists
-
-
 def label_by_hosts(events: DataFrame, scope="scenario", early=None, always=None, install=None,
                    internal_prefix=S.INTERNAL_PREFIX) -> DataFrame:
     """Set ``campaign_id`` and ``is_campaign_link``.

@@ -14,7 +14,7 @@ def chronological_split(df: DataFrame, group_cols=("source_file",), ts_col="time
     fraction = F.lit(float(train_fraction))
     marked = mark_first(df, group_cols, F.date_trunc(bucket, F.col(ts_col)), [ts_col, id_col],
                         lambda n: F.floor(n * fraction), "_train")
-    return marked.withColumn("split", F.when("_train", "train").otherwise("test")).drop("_train")
+    return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
 
 
 def exact_sample(df: DataFrame, group_cols, quota, id_col="event_id", seed=S.SEED, prefix=3) -> DataFrame:
@@ -54,7 +54,7 @@ def campaign_split(events: DataFrame, campaign_col="campaign_id", seed=S.SEED,
     rows = campaigns.withColumns({"_all": F.lit(1), "_h": seeded_hash(seed, F.col(campaign_col))})
     n_val = lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(float(fraction))))
     marked = mark_first(rows, ["_all"], F.substring("_h", 1, 3), ["_h", campaign_col], n_val, "_val")
-    return marked.select(campaign_col, F.when("_val", "val").otherwise("train").alias("split"))
+    return marked.select(campaign_col, F.when(F.col("_val"), "val").otherwise("train").alias("split"))
 
 
 def rows_of_split(events: DataFrame, split: DataFrame, name: str, key="campaign_id") -> DataFrame:
