@@ -9,10 +9,12 @@ from .ranking import join_on, mark_first
 
 
 def chronological_split(df: DataFrame, group_cols=("source_file",), ts_col="timestamp", id_col="event_id",
-                        train_fraction=S.TRAIN_FRACTION, bucket="hour") -> DataFrame:
-    """First ``floor(n * fraction)`` rows of each group in time order are "train"."""
+                        train_fraction=S.TRAIN_FRACTION, bucket: Column = None) -> DataFrame:
+    """First ``floor(n * fraction)`` rows of each group in time order are "train".
+    ``bucket`` coarsens the order; the hour by default."""
     fraction = F.lit(float(train_fraction))
-    marked = mark_first(df, group_cols, F.date_trunc(bucket, F.col(ts_col)), [ts_col, id_col],
+    bucket = F.date_trunc("hour", F.col(ts_col)) if bucket is None else bucket
+    marked = mark_first(df, group_cols, bucket, [ts_col, id_col],
                         lambda n: F.floor(n * fraction), "_train")
     return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
 
