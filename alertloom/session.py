@@ -1,10 +1,14 @@
 """Session settings the library relies on, and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS = {}
+
+
 def local_session(cores="*", shuffle_partitions=8, **extra) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     builder = (
@@ -15,7 +19,6 @@ def local_session(cores="*", shuffle_partitions=8, **extra) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -32,18 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="alertloom-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if sc.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="alertloom-")
+    return _LOCAL_FOLDERS[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that iterative plans stay short and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    Iterative plans stay short and survive lost executors. Unlike a checkpointed RDD, a written
+    table has its true size, so Spark plans the next joins by it; estimates carried through a loop
+    of joins multiply in every round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def read_cuts(cuts) -> DataFrame:
+    """Several written tables of one schema as a single scan."""
+    return cuts[0].sparkSession.read.schema(cuts[0].schema).parquet(*[c._cut_path for c in cuts])
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in cuts:
+        if df is not None:
+            fs, where = _file_system(df.sparkSession, df._cut_path)
+            fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
