@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def clean_ip(c: Column) -> Column:
     """Strip leading zeros from every octet; null when an octet is not a number."""
-    octets = F.transform(F.split(c, r"\."), lambda o: o.try_cast("int").cast("string"))
-    return F.when(~F.exists(octets, lambda o: o.isNull()), F.array_join(octets, "."))
+    return F.when(c.rlike(r"^\d+(\.\d+)*$"), F.regexp_replace(c, r"\b0+(?=\d)", ""))
 
 
 def optional_number(c: Column) -> Column:

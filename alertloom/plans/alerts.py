@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lookup import map_values
+from ..session import tune
 
 TYPE_STAGE = {"view": "recon", "click": "exploit", "signup": "install", "purchase": "action"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

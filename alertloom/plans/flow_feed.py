@@ -45,7 +45,8 @@ def flow_events(raw: DataFrame, model: PipelineModel, compat=False, gap_minutes=
     """Unified events with predictions: attacks labelled by time gaps, benign rows sampled per day
     before they are scored, floods collapsed."""
     features = flows.feature_columns(raw)
-    rows = numbered(raw)
+    # Text is parsed once; every later pass reads columns of the written copy.
+    rows = cut_lineage(numbered(raw))
     attacks, benign = attack_rows(rows), benign_rows(rows)
     per_day = lambda df: df.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     per_file = benign.groupBy("source_file", "day").agg(F.count(F.lit(1)).alias("n"))
@@ -63,7 +64,7 @@ def flow_events(raw: DataFrame, model: PipelineModel, compat=False, gap_minutes=
     combined = attacks.unionByName(benign).withColumns({
         "source_dataset": F.lit("cicids2017"), "tier": F.lit("network"), "vantage": F.lit("N/A"),
         "service": F.col("protocol"), "src_port": F.col("src_port").cast("double"), "dst_port": F.col("dst_port").cast("double")})
-    collapsed = bursts.aggregate_bursts(combined, ["campaign_id", "attack_type"], threshold)
+    collapsed = bursts.aggregate_bursts(cut_lineage(combined), ["campaign_id", "attack_type"], threshold)
     if "predicted_attack_type_agreement" not in collapsed.columns:
         collapsed = collapsed.withColumn("predicted_attack_type_agreement", F.lit(1.0))
     staged = collapsed.withColumn("predicted_kill_chain_stage", label_stage(F.col("predicted_attack_type"), compat))
@@ -82,11 +83,11 @@ def checked_split(events: DataFrame, seed=S.SEED, manifest: DataFrame = None) ->
 def identifier_sets(raw: DataFrame, target=S.BENIGN_TOTAL_TARGET, floor=S.BENIGN_FLOOR):
     """(train, test, features): all attacks plus a budgeted benign sample, cut by time within each file."""
     features = flows.feature_columns(raw)
-    rows = numbered(raw)
+    rows = cut_lineage(numbered(raw))
     benign = benign_rows(rows)
     quota = sampling.proportional_quota(flows.rows_per_file(benign), target, floor)
     combined = attack_rows(rows).unionByName(sampling.exact_sample(benign, ["source_file"], quota))
-    split = sampling.chronological_split(flows.clean_features(combined, features), ["source_file"])
+    split = cut_lineage(sampling.chronological_split(flows.clean_features(combined, features), ["source_file"]))
     side = lambda name: split.where(F.col("split") == name).drop("split")
     return side("train"), side("test"), features
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import bursts, campaigns, checks
+from ..session import cut_lineage
 from ..sources import sessions
 
 
@@ -32,7 +33,8 @@ def collapse(labelled: DataFrame, threshold=S.BURST_THRESHOLD, bin_seconds=S.BUR
 
 def session_events(spark: SparkSession, root: str, scenarios=S.SCENARIOS) -> DataFrame:
     """The unified event table of all captures below ``root``."""
-    events = collapse(label(parse(spark, root, scenarios)))
+    # Text is parsed once; labelling and collapsing read the written copies.
+    events = collapse(cut_lineage(label(cut_lineage(parse(spark, root, scenarios)))))
     return events.select(*S.UNIFIED_COLUMNS, *S.SESSION_EXTRAS.fieldNames())
 
 

@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS = {}
 
+# The JVM leaves methods above 8000 bytes uncompiled, so wide projections in one generated
+# method run interpreted. Below that limit Spark falls back to smaller generated pieces.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the plans count on, for a session somebody else has built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def local_session(cores="*", shuffle_partitions=8, **extra) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -15,14 +26,13 @@ def local_session(cores="*", shuffle_partitions=8, **extra) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("alertloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,17 +21,14 @@ def is_session_line(line: Column) -> Column:
     return line.rlike(LINE_PATTERN)
 
 
-def line_fields(line: Column) -> dict:
-    """The line's fields by name. No field holds blanks, so one split replaces a regex per field."""
-    tokens = F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+")
-    return {name: tokens[i] for i, name in enumerate(LINE_FIELDS)}
-
-
 def parse_lines(lines: DataFrame, value="value") -> DataFrame:
     """Unified columns from session lines that carry ``scenario``, ``vantage`` and ``phase``.
     Other lines are skipped, as are lines with a malformed address."""
-    f = line_fields(F.col(value))
-    parsed = lines.where(is_session_line(F.col(value))).select(
+    # No field holds blanks: one split, in a projection of its own, replaces a regex per field.
+    tokens = F.split(F.regexp_replace(F.col(value), r"^\s+", ""), r"\s+")
+    split = lines.where(is_session_line(F.col(value))).select("scenario", "vantage", "phase", tokens.alias("_t"))
+    f = {name: F.col("_t")[i] for i, name in enumerate(LINE_FIELDS)}
+    parsed = split.select(
         F.concat_ws("_", "scenario", "vantage", F.concat(F.lit("p"), F.col("phase")), f["seq"]).alias("event_id"),
         parse_session_clock(f["date"], f["time"]).alias("timestamp"),
         clean_ip(f["src"]).alias("src_ip"), clean_ip(f["dst"]).alias("dst_ip"),
