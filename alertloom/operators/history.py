@@ -20,8 +20,8 @@ def thirds(history: DataFrame, value: str, reward: str, order: str, stable_std=S
     """First against last third of a history, and whether the value improved and settled.
     All values are null when there are fewer than three rows."""
     w = W.orderBy(order)
-    placed = history.select(value, reward, F.row_number().over(w).alias("_rn")).crossJoin(
-        history.agg(F.count(F.lit(1)).alias("_n")))
+    size = history.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    placed = history.select(value, reward, F.row_number().over(w).alias("_rn"), size.alias("_n"))
     third = F.floor(F.col("_n") / 3)
     first = F.col("_rn") <= third
     last = F.col("_rn") > F.col("_n") - third

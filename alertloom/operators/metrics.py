@@ -32,7 +32,7 @@ def pair_totals(cells: DataFrame, truth="campaign_id") -> DataFrame:
         F.coalesce(F.sum("both"), F.lit(0)).cast("decimal(38,0)").alias("tp_pairs"))
     true = cells.where(real).groupBy(truth).agg(F.sum("n").alias("size")).agg(
         F.coalesce(F.sum(pair_count(F.col("size"))), F.lit(0)).cast("decimal(38,0)").alias("n_true_pairs"))
-    return predicted.crossJoin(true).withColumns({
+    return predicted.withColumn("n_true_pairs", true.scalar()).withColumns({
         "fp_pairs": F.col("n_predicted_pairs") - F.col("tp_pairs"),
         "fn_pairs": F.col("n_true_pairs") - F.col("tp_pairs")})
 
@@ -81,9 +81,9 @@ def cluster_profile(cells: DataFrame, truth="campaign_id") -> DataFrame:
     """Size, share of all events, dominant campaign and purity of every cluster."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col(truth).alias("campaign")))
     per = cells.groupBy("cluster_id").agg(F.sum("n").alias("n_events"), best.alias("_b"))
-    total = cells.agg(F.sum("n").alias("_all"))
-    return per.crossJoin(total).select(
-        "cluster_id", "n_events", (F.col("n_events") / F.col("_all")).alias("event_share"),
+    total = cells.agg(F.sum("n").alias("_all")).scalar()
+    return per.select(
+        "cluster_id", "n_events", (F.col("n_events") / total).alias("event_share"),
         F.col("_b.campaign").alias("dominant_campaign"), (-F.col("_b.neg")).alias("n_dominant"),
         (-F.col("_b.neg") / F.col("n_events")).alias("purity"))
 
@@ -97,7 +97,9 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def dense_confusion(cells: DataFrame) -> DataFrame:
     """Every (true, predicted) cell over the union of labels. Labels are few: for output only."""
     labels = cells.select(F.col("true_label").alias("label")).union(cells.select("predicted_label")).distinct()
-    grid = labels.select(F.col("label").alias("true_label")).crossJoin(labels.select(F.col("label").alias("predicted_label")))
+    every = labels.agg(F.collect_set("label").alias("_all")).scalar()
+    grid = labels.select(F.col("label").alias("true_label"), every.alias("_all")).select(
+        "true_label", F.explode("_all").alias("predicted_label"))
     return grid.join(cells, ["true_label", "predicted_label"], "left").fillna(0, ["n"])
 
 
@@ -163,8 +165,8 @@ def headline(report: DataFrame, classes=S.HEADLINE_CLASSES, low_power=S.LOW_POWE
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per label: n / (number of labels * rows of the label)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(total).select(label, "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
+    per_label = counts.agg((F.sum("n") / F.count(F.lit(1))).alias("_mean")).scalar()
+    return counts.select(label, "n", (per_label / F.col("n")).alias("weight"))
 
 
 def ablation(full: DataFrame, reduced: DataFrame, min_delta=S.ABLATION_DELTA) -> DataFrame:

@@ -42,8 +42,8 @@ def benign_quota(attack_counts: DataFrame, available: DataFrame, group_cols=("da
 
 def proportional_quota(available: DataFrame, target=S.BENIGN_TOTAL_TARGET, floor=S.BENIGN_FLOOR) -> DataFrame:
     """Budget per group as its share of a total target."""
-    total = available.agg(F.sum("n").alias("n_total"))
-    return available.withColumnRenamed("n", "n_available").crossJoin(total).withColumn(
+    total = available.agg(F.sum("n").alias("n_total")).scalar()
+    return available.withColumnRenamed("n", "n_available").withColumn("n_total", total).withColumn(
         "quota", share_budget(F.col("n_available"), F.col("n_total"), target, floor))
 
 

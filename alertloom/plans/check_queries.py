@@ -85,9 +85,9 @@ def inventory_problems(spark, sf_dir):
         F.col("p_brand").alias("scenario"), F.col("p_type").alias("vantage"), (F.col("p_size") % 5).alias("phase")).agg(
         F.sum(F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size"))).alias("dump_bytes"),
         F.max(F.when(m < 3, None).when(m < 5, 0).otherwise(F.col("p_size"))).alias("truth_xml_bytes"))
-    brands = part.select(F.col("p_brand").alias("scenario")).distinct()
-    kinds = part.select(F.col("p_type").alias("vantage")).distinct()
-    return Q.inventory_problems(inventory, brands.crossJoin(kinds))
+    kinds = part.agg(F.collect_set("p_type").alias("k")).scalar()
+    brands = part.select(F.col("p_brand").alias("scenario")).distinct().withColumn("k", kinds)
+    return Q.inventory_problems(inventory, brands.select("scenario", F.explode("k").alias("vantage")))
 
 
 @query(f"""WITH {ALERTS_SQL} SELECT attack_type AS label, count(*) AS n FROM alerts GROUP BY 1""")
