@@ -61,14 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuts/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, where = _file_system(spark, path)
-    fs.deleteOnExit(where)
+    df.write.mode("append").parquet(path)
+    delete_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+
 def read_cuts(cuts) -> DataFrame:
     """Several written tables of one schema as a single scan."""
     return cuts[0].sparkSession.read.schema(cuts[0].schema).parquet(*[c._cut_path for c in cuts])

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..session import shared_dir
+from ..session import delete_on_exit, shared_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=None) -> DataFrame:
@@ -46,6 +46,7 @@ def run_to_end(stream: DataFrame, mode="append") -> DataFrame:
     """Run a stream over all input there is now, into a fresh folder all executors share."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
     query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state")
              .trigger(availableNow=True).start(f"{folder}/rows"))
     query.awaitTermination()
