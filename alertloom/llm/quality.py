@@ -29,6 +29,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that later filters and projections read but never compute again.
+
+    A filter on a projected column makes Spark copy its expression into the filter; a generator stops that.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    stay = [c for c in df.columns if c not in columns]
+    return df.select(*stay, made).select(*stay, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
@@ -98,13 +108,14 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     five) or ``lost`` exceeds ``max_lost``. A text without removed lines is returned as it is.
     """
     text = F.col("text")
-    out = docs.withColumns(judge(text))
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_repeat_words": repeated_words(F.col("_words"))})
-    left = F.array_join("_lines", "\n")
-    out = out.withColumn("cleaned", F.when(text.isNotNull(), left)).drop("_words", "_lines")
+    out = once(docs, judge(text))
+    out = once(out, {
+        "n_words": F.size("_words").cast("long"), "n_repeat_words": repeated_words(F.col("_words")),
+        "cleaned": F.when(text.isNotNull(), F.array_join("_lines", "\n")),
+    }).drop("_words", "_lines")
     body = F.coalesce("cleaned", F.lit(""))
     rest = F.length(body) - count_of(body, BLANK_CHARS)
-    out = out.withColumns({
+    out = once(out, {
         "lost": F.when(F.col("word_chars") > 0, 1 - rest / F.col("word_chars")).otherwise(F.lit(0.0)),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
