@@ -214,7 +214,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without rows that hold a benchmark window; rows of equal id and text share their fate."""
-    found = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_i"), F.col("_text_key").alias("_k")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_k"))
-    return docs.join(found, on, "left_anti")
+    """``docs`` without rows that hold a benchmark window; one pass without a shuffle for each block of patterns."""
+    spark = docs.sparkSession
+    for block in pattern_blocks(benchmark):
+        docs = docs.mapInArrow(_filter(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
+def _filter(shared):
+    def clean(stream):
+        patterns = compile_patterns(shared.value[1])
+        for whole in stream:
+            for batch in H.batches(whole):
+                _, first, opens, closes, _ = find(batch.column("text"), patterns)
+                yield batch.filter(pa.array(~hit_texts(first, opens, closes)))
+
+    return clean
+
+
+def hit_texts(first, opens, closes):
+    """True for every text that a run of hit words reaches into."""
+    n = len(first) - 1
+    low = np.searchsorted(first, opens, "right") - 1
+    high = np.searchsorted(first, closes - 1, "right") - 1
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, low, 1)
+    np.add.at(change, high + 1, -1)
+    return np.cumsum(change)[:n] > 0

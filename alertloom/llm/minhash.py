@@ -3,10 +3,12 @@
 One scan hashes the distinct five-word shingles of every text. A single hash both assigns a shingle to one of
 128 bins and ranks it there; empty bins copy a non-empty one picked by optimal densification. Four bins make a
 band, 32 bands a signature. Texts with equal shingle sets form a class, and only classes go on. In every band
-bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Buckets
-that confirmed edges do not connect get further stars until every pair of members is either in one component
-or compared, so no candidate is lost to the choice of the centre. At a similarity of 0.75 the bands miss a pair
-with a probability of 5e-6.
+bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Where
+confirmed edges leave a bucket in several components, its largest one sends another centre to all members
+outside it, and buckets of at most ``SMALL`` classes compare such members pair by pair; this goes on until a
+round adds no link. A class stands in 32 buckets, each with its own centres. The pairs of a round are at most
+the rows of the buckets. At a similarity of 0.75 the bands miss a pair with a probability of 5e-6; a link can
+also stay unseen if it is the only one between two large components and no star of any round draws it.
 
 Defined results: words are maximal runs of non-blank characters with A-Z lower-cased; a text of one to four
 words is one shingle; texts that are null, empty or blank have an empty set and link with nothing. Rows are
@@ -17,7 +19,7 @@ Shingles are compared by a 64-bit hash of their words.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm import hashing as H
 from alertloom.llm.components import components
@@ -25,7 +27,7 @@ from alertloom.session import cut_lineage, read_cuts, release
 
 SHINGLE, BINS, ROWS, BANDS = 5, 128, 4, 32
 PERCENT = 75
-CENTRES = 32
+SMALL = 16
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 2)
 _LENGTH = H.seeds(SHINGLE + 1, 6)
@@ -116,28 +118,31 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketch, "doc_id long, _text_key long, n_shingles long, node long, bands array<long>")
 
 
-class _Confirm:
-    """Compares pairs of classes on their full sets, read from one text of each class."""
+def _shingles(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, shingles`` of the given classes, from one text of each."""
+    wanted = classes.join(nodes, "node").select("node", F.col("any_id").alias("_id"), F.col("any_key").alias("_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_key"), "text")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    texts = rows.join(wanted, on).select("node", "text").dropDuplicates(["node"])
+    return cut_lineage(texts.mapInArrow(_sets, "node long, shingles array<long>"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets have enough in common."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b") \
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
+    size_a, size_b = F.size("_a"), F.size("_b")
+    near = 100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)
+    common = F.size(F.array_intersect("_a", "_b"))
+    return cut_lineage(both.where(near).where(100 * common >= PERCENT * (size_a + size_b - common)).select("a", "b"))
 
-    def __init__(self, docs, classes):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_key"), "text")
-        self.classes = classes
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` with enough common shingles."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = self.classes.join(nodes, "node").select("node", F.col("any_id").alias("_id"), F.col("any_key").alias("_key"))
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-        texts = self.docs.join(wanted, on).select("node", "text").dropDuplicates(["node"])
-        sets = cut_lineage(texts.mapInArrow(_sets, "node long, shingles array<long>"))
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b") \
-            .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
-        size_a, size_b = F.size("_a"), F.size("_b")
-        near = (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b))
-        common = F.size(F.array_intersect("_a", "_b"))
-        found = cut_lineage(both.where(near).where(100 * common >= PERCENT * (size_a + size_b - common)).select("a", "b"))
-        release(sets)
-        return found
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels (node, label)`` of all nodes after the links ``found`` join components."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    between = found.join(at("a"), "a").join(at("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    step = components(between).select(F.col("node").alias("label"), F.col("label").alias("_next"))
+    return cut_lineage(labels.join(step, "label", "left").select("node", F.coalesce("_next", "label").alias("label")))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -149,35 +154,36 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
     found = sketched.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("min_id"), F.min_by(F.struct("doc_id", "_text_key"), F.col("_text_key")).alias("_any"), F.first("bands").alias("bands"))
     classes = cut_lineage(found.select("node", "min_id", F.col("_any.doc_id").alias("any_id"), F.col("_any._text_key").alias("any_key"), "bands"))
-    confirm = _Confirm(docs, classes)
-
     in_band = classes.select(F.explode("bands").alias("bucket"), "node")
     shared = in_band.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rest = cut_lineage(in_band.join(shared, "bucket").where("node <> centre"))
+    rest = cut_lineage(in_band.join(shared, "bucket"))
     tested = [cut_lineage(_pairs(rest.select(F.col("centre").alias("a"), F.col("node").alias("b"))))]
-    linked = [confirm(tested[0])]
-    labels = components(linked[0])
-    # the centre has met all its bucket; what is left matters only where the others stand in several components
-    rest = rest.select("bucket", "node")
+    nodes = rest.select("node").distinct()
+    sets = _shingles(docs, classes, nodes)
+    labels = _merged(nodes.withColumn("label", F.col("node")), _confirmed(tested[0], sets))
+    turn = 0
     while True:
-        live = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        parts = live.groupBy("bucket", "label").count()
-        split = parts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("_top"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
-        split = split.select("bucket", F.col("_top.label").alias("top"))
+        turn += 1
+        live = rest.select("bucket", "node").join(labels, "node")
+        parts = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("_pick"))
+        split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_n"))
+        split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"), F.col("_n").alias("n"))
         live = cut_lineage(live.join(split, "bucket"))
-        if live.isEmpty():
-            release(live)
-            break
-        order = W.partitionBy("bucket").orderBy("node")
-        centres = live.where("label <> top").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CENTRES)
-        centres = cut_lineage(centres.select("bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label")))
-        met = live.join(centres, "bucket").where("label <> centre_label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        # the largest part of a bucket sends another centre to all members outside it; a small bucket compares them all at once
+        met = live.where("label <> top").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        if turn == 1:
+            small = live.where(F.col("n").between(3, SMALL))
+            other = small.select("bucket", F.col("node").alias("_node"), F.col("label").alias("_label"))
+            met = met.union(small.join(other, "bucket").where("node < _node and label <> _label").select("node", "_node"))
         pairs = cut_lineage(_pairs(met).join(read_cuts(tested), ["a", "b"], "left_anti"))
-        rest = live.select("bucket", "node").join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        if not pairs.isEmpty():
-            tested.append(pairs)
-            linked.append(confirm(pairs))
-            labels = components(read_cuts(linked))
+        found = _confirmed(pairs, sets)
+        release(live)
+        tested.append(pairs)
+        if found.isEmpty():
+            break
+        old, labels = labels, _merged(labels, found)
+        release(old, found)
+    release(rest, sets, *tested)
     return classes, labels
 
 

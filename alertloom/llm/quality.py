@@ -87,16 +87,17 @@ def line_fails(line: Column) -> Column:
 
 
 def judge(text: Column) -> dict[str, Column]:
-    """Columns of the verdict on a text; ``_lines`` holds the lines that stay."""
+    """Counts of a text and what its lines leave of it."""
     body = F.coalesce(text, F.lit(""))
     lines = F.split(body, "\n", -1)
     filled = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
     return {
-        "_words": words(text),
+        "_word": let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"))),
         "word_chars": F.length(body) - count_of(body, BLANK_CHARS),
         "n_symbols": count_of(body, SYMBOLS),
         "n_dup_lines": let(filled, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long"),
-        "_lines": F.filter(lines, lambda x: ~line_fails(x)),
+        "_left": let(left, lambda x: F.struct(x.alias("text"), (F.length(x) - count_of(x, BLANK_CHARS)).alias("chars"))),
     }
 
 
@@ -108,15 +109,9 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     five) or ``lost`` exceeds ``max_lost``. A text without removed lines is returned as it is.
     """
     text = F.col("text")
-    out = once(docs, judge(text))
-    out = once(out, {
-        "n_words": F.size("_words").cast("long"), "n_repeat_words": repeated_words(F.col("_words")),
-        "cleaned": F.when(text.isNotNull(), F.array_join("_lines", "\n")),
-    }).drop("_words", "_lines")
-    body = F.coalesce("cleaned", F.lit(""))
-    rest = F.length(body) - count_of(body, BLANK_CHARS)
-    out = once(out, {
-        "lost": F.when(F.col("word_chars") > 0, 1 - rest / F.col("word_chars")).otherwise(F.lit(0.0)),
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    out = once(docs, judge(text)).withColumns({
+        "n_words": F.col("_word.n"), "n_repeat_words": F.col("_word.repeated"), "cleaned": F.when(text.isNotNull(), F.col("_left.text")),
+        "lost": F.when(F.col("word_chars") > 0, 1 - F.col("_left.chars") / F.col("word_chars")).otherwise(F.lit(0.0)),
+    }).drop("_word", "_left")
+    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return out.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))

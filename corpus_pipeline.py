@@ -5,13 +5,31 @@ repeated ids pass through like others; an empty table gives an empty result.
 """
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.llm import decontaminate, minhash, mixing, quality, sharding
-from alertloom.session import delete_on_exit, shared_dir
+from alertloom.session import collect_cuts, delete_on_exit, release, shared_dir
 
+_OPEN = []
 
+
+def staged(stage):
+    """A stage that first deletes what the one before it wrote for itself: its result has been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        release(*[x for x in _OPEN if x.sparkSession is spark])
+        with collect_cuts() as made:
+            out = stage(spark, docs, sf_dir)
+        _OPEN[:] = made
+        return out
+
+    return run_stage
+
+
+@staged
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the texts, rejected documents leave the table; ``n_chars`` follows the text."""
     judged = quality.clean_lines(docs.select(F.struct(*docs.columns).alias("_doc"), "text")).where("kept")
@@ -19,19 +37,23 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select(*[(new[c] if c in new else F.col(f"_doc.{c}")).alias(c) for c in docs.columns])
 
 
+@staged
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
+@staged
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated as often as the mix takes it."""
     return mixing.take_mix(docs)
 
 
+@staged
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``shard`` and ``slot``."""
     return sharding.assign_shards(docs)
