@@ -1,12 +1,15 @@
 """Session settings the library relies on, and lineage cutting."""
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_FOLDERS = {}
+_COLLECTORS = []
 
 # The JVM leaves methods above 8000 bytes uncompiled, so wide projections in one generated
 # method run interpreted. Below that limit Spark falls back to smaller generated pieces.
@@ -43,9 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    local = re.fullmatch(r"local(\[.*\])?", sc.master)
     if named:
         return named
-    if not sc.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if sc.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="alertloom-")
@@ -65,9 +69,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     delete_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _COLLECTORS:
+        made.append(out)
     return out
 
 
+@contextmanager
+def collect_cuts():
+    """List of the tables that ``cut_lineage`` writes inside the block, for ``release`` once their readers are done."""
+    made = []
+    _COLLECTORS.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTORS[:] = [x for x in _COLLECTORS if x is not made]
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.mkdirs(where)
