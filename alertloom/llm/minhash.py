@@ -5,8 +5,8 @@ One scan hashes the distinct five-word shingles of every text. A single hash bot
 band, 32 bands a signature. Texts with equal shingle sets form a class, and only classes go on. In every band
 bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Where
 confirmed edges leave a bucket in several components, its largest one sends another centre to all members
-outside it, and buckets of at most ``SMALL`` classes compare such members pair by pair; this goes on until a
-round adds no link. A class stands in 32 buckets, each with its own centres. The pairs of a round are at most
+outside it; in buckets where those times all members are at most ``SMALL``, they also meet every member of
+another component. This goes on until a round adds no link. A class stands in 32 buckets, each with its own centres. The pairs of a round are at most
 the rows of the buckets. At a similarity of 0.75 the bands miss a pair with a probability of 5e-6; a link can
 also stay unseen if it is the only one between two large components and no star of any round draws it.
 
@@ -27,7 +27,7 @@ from alertloom.session import cut_lineage, read_cuts, release
 
 SHINGLE, BINS, ROWS, BANDS = 5, 128, 4, 32
 PERCENT = 75
-SMALL = 16
+SMALL = 2048
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 2)
 _LENGTH = H.seeds(SHINGLE + 1, 6)
@@ -167,14 +167,14 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
         live = rest.select("bucket", "node").join(labels, "node")
         parts = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("_pick"))
         split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_n"))
-        split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"), F.col("_n").alias("n"))
+        split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"), ((F.col("_n") - F.col("_top.n")) * F.col("_n")).alias("n"))
         live = cut_lineage(live.join(split, "bucket"))
         # the largest part of a bucket sends another centre to all members outside it; a small bucket compares them all at once
         met = live.where("label <> top").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         if turn == 1:
-            small = live.where(F.col("n").between(3, SMALL))
-            other = small.select("bucket", F.col("node").alias("_node"), F.col("label").alias("_label"))
-            met = met.union(small.join(other, "bucket").where("node < _node and label <> _label").select("node", "_node"))
+            small = live.where(F.col("n") <= SMALL)
+            other = small.where("label <> top").select("bucket", F.col("node").alias("_node"), F.col("label").alias("_label"))
+            met = met.union(small.join(other, "bucket").where("label <> _label").select("node", "_node"))
         pairs = cut_lineage(_pairs(met).join(read_cuts(tested), ["a", "b"], "left_anti"))
         found = _confirmed(pairs, sets)
         release(live)

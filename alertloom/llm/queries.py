@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import decontaminate, minhash, mixing, quality, sharding
+from alertloom.llm import decontaminate, minhash, mixing, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_warc_dictionary_archive(spark, sf_dir):
+    manifest = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, manifest._folder).drop("url")
+
+
 def op4_pareto_source_mix(spark, sf_dir):
     mixed = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -63,6 +63,14 @@ v AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(x, '[\x20\x
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (word_chars = 0 OR 1 - rest::DOUBLE / word_chars <= 0.65) AS kept FROM v"""
 
+OP3 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(x)::BIGINT AS n, h, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
+
 ORACLE = {
+    "op3_warc_dictionary_archive": OP3,
     "op1_minhash_near_dedup": OP1, "op4_pareto_source_mix": OP4, "op6_wu_manber_decontamination": OP6, "op9_line_first_quality": OP9,
 }
