@@ -1,8 +1,8 @@
 """One registered query per operator: the contract's columns over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import decontaminate, minhash, mixing, quality, sharding, warc
+from alertloom.llm import chat, decontaminate, minhash, mixing, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op6_wu_manber_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_budgeted_chat_windows(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    check = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(check)
+    return chat.conversation_digests(chat.format_windows(turns))
+
+
 def op9_line_first_quality(spark, sf_dir):
     judged = quality.clean_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
