@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import chat, decontaminate, minhash, mixing, quality, sharding, warc
+from alertloom.llm import chat, decontaminate, minhash, mixing, pii, quality, repeats, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_toxicity_grammar(spark, sf_dir):
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_warc_dictionary_archive(spark, sf_dir):
     manifest = warc.write_archives(_read(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, manifest._folder).drop("url")
@@ -43,3 +47,11 @@ def op7_budgeted_chat_windows(spark, sf_dir):
 def op9_line_first_quality(spark, sf_dir):
     judged = quality.clean_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_suffix_array_dedup(spark, sf_dir):
+    return repeats.repeated_bytes(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_bootstrapped_personal_data(spark, sf_dir):
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
