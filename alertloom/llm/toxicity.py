@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from alertloom.session import cut_lineage, release
 
 TRAIN_ROWS, CANDIDATES, LEXICON = 8000, 4000, 600
-MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS, MIN_CONTEXT_SHARE = 6, 0.006, 3.0, 0.25
+MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS, MIN_CONTEXT_SHARE = 5, 0.006, 3.0, 0.25
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 # word classes of the grammar, plain values for English, German, French and Spanish
 TARGET = "you your yours he she they him her them du dich dir ihr euch er sie ihn tu toi vous il elle ils tú usted ustedes él ella ellos".split()
 NEGATION = "not no never none isn't aren't nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
