@@ -27,7 +27,8 @@ def floor_to_bin(ts: Column, seconds: int) -> Column:
 
 
 def parse_session_clock(date: Column, time: Column) -> Column:
-    return F.to_timestamp_ntz(F.concat_ws(" ", date, time), F.lit("MM/dd/yyyy HH:mm:ss"))
+    """Null for a date or time that does not exist, like 99/99/2000."""
+    return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit("MM/dd/yyyy HH:mm:ss")).cast("timestamp_ntz")
 
 
 def parse_mixed(c: Column, formats=("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "dd/MM/yyyy HH:mm:ss",

@@ -43,9 +43,10 @@ def train_identifier(train: DataFrame, test: DataFrame, features, label="label",
         featuresCol="_features", labelCol="_label", predictionCol="_prediction", probabilityCol="_probability",
         rawPredictionCol="_raw", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
         seed=seed, maxMemoryInMB=1024)
-    prepared = with_class_weight(train, label).persist()
+    prepared = with_class_weight(train, label)
     for step in coders + plain + [labels, assembler]:
         prepared = step.transform(prepared)
+    prepared = prepared.select("_features", "_label", "weight").persist()
     fitted = forest.fit(prepared)
     prepared.unpersist()
     # Scoring needs no truth column: the label codes are turned back by name.

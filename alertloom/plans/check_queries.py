@@ -57,37 +57,32 @@ def constant_feature_audit(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, n_list, n_xml FROM (SELECT user_id, count(*) AS n_list FROM events GROUP BY 1)
-JOIN (SELECT user_id, count(*) AS n_xml FROM events WHERE event_id % 50 <> 0 GROUP BY 1) USING (user_id) WHERE n_list <> n_xml""")
+SELECT day, n_list, n_xml FROM (SELECT o_orderdate AS day, count(*) AS n_list FROM orders GROUP BY 1)
+JOIN (SELECT l_shipdate AS day, count(*) AS n_xml FROM lineitem GROUP BY 1) USING (day) WHERE n_list <> n_xml""")
 def reconcile_counts(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    n = lambda df, name: df.groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
-    return Q.reconcile(n(ev, "n_list"), n(ev.where("event_id % 50 <> 0"), "n_xml"), "user_id")
+    n = lambda name, day, out: table(spark, sf_dir, name).groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias(out))
+    return Q.reconcile(n("orders", "o_orderdate", "n_list"), n("lineitem", "l_shipdate", "n_xml"), "day")
 
 
 INVENTORY_SQL = """inventory AS (SELECT p_brand AS scenario, p_type AS vantage, p_size % 5 AS phase,
   sum(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END) AS dump_bytes,
   max(CASE WHEN p_size % 7 < 3 THEN NULL WHEN p_size % 7 < 5 THEN 0 ELSE p_size END) AS truth_xml_bytes
-  FROM part WHERE p_partkey % 13 < 4 GROUP BY ALL)"""
+  FROM part GROUP BY ALL)"""
 
 
 @query(f"""WITH {INVENTORY_SQL}, phases AS (SELECT scenario, vantage, count(DISTINCT phase) AS n FROM inventory GROUP BY ALL)
-SELECT scenario, vantage, CAST(NULL AS INTEGER) AS phase, 'directory missing' AS problem FROM (SELECT DISTINCT p_brand AS scenario FROM part)
-  CROSS JOIN (SELECT DISTINCT p_type AS vantage FROM part) WHERE (scenario, vantage) NOT IN (SELECT scenario, vantage FROM phases)
-UNION ALL SELECT scenario, vantage, NULL, 'fewer than 2 phases' FROM phases WHERE n < 2
+SELECT scenario, vantage, CAST(NULL AS INTEGER) AS phase, 'fewer than 2 phases' AS problem FROM phases WHERE n < 2
 UNION ALL SELECT scenario, vantage, phase, 'dump is empty' FROM inventory WHERE coalesce(dump_bytes, 0) = 0
 UNION ALL SELECT scenario, vantage, phase, 'truth is missing' FROM inventory WHERE truth_xml_bytes IS NULL
 UNION ALL SELECT scenario, vantage, phase, 'truth is empty' FROM inventory WHERE truth_xml_bytes = 0""")
 def inventory_problems(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     m = F.col("p_size") % 7
-    inventory = part.where("p_partkey % 13 < 4").groupBy(
+    inventory = part.groupBy(
         F.col("p_brand").alias("scenario"), F.col("p_type").alias("vantage"), (F.col("p_size") % 5).alias("phase")).agg(
         F.sum(F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size"))).alias("dump_bytes"),
         F.max(F.when(m < 3, None).when(m < 5, 0).otherwise(F.col("p_size"))).alias("truth_xml_bytes"))
-    kinds = part.agg(F.collect_set("p_type").alias("k")).scalar()
-    brands = part.select(F.col("p_brand").alias("scenario")).distinct().withColumn("k", kinds)
-    return Q.inventory_problems(inventory, brands.select("scenario", F.explode("k").alias("vantage")))
+    return Q.inventory_problems(inventory, part.select(F.col("p_brand").alias("scenario"), F.col("p_type").alias("vantage")).distinct())
 
 
 @query(f"""WITH {ALERTS_SQL} SELECT attack_type AS label, count(*) AS n FROM alerts GROUP BY 1""")

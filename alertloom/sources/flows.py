@@ -19,18 +19,20 @@ def flow_schema(columns) -> T.StructType:
 
 
 def csv_header(spark: SparkSession, path: str) -> list:
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    files = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True)
+    return files.option("pathGlobFilter", "*.csv").csv(path).columns
 
 
 def read_flows(spark: SparkSession, root: str, files=None, schema: T.StructType = None) -> DataFrame:
     """All flow files below ``root`` in one scan, with ``source_file`` and ``day``.
 
     ``files`` keeps the named files only. Files that do not exist add no rows. With no schema the
-    header of one file decides the columns and statistics stay text until they are cleaned.
+    header of one file decides the columns and statistics stay text until they are cleaned; a file whose
+    header has other columns, or the same in another order, stops the scan instead of mixing them up.
     """
     if schema is None:
         schema = flow_schema(csv_header(spark, root))
-    scan = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    scan = (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.csv").csv(root))
     name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
     tagged = scan.withColumn("source_file", name).withColumn("day", file_day(F.col("source_file")))

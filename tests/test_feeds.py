@@ -61,6 +61,24 @@ def test_counts_and_rejects(spark, captures):
     assert (rejected.n_rejected, rejected.n_lines) == (2, 4)
 
 
+def test_files_without_records_count_as_zero(spark, tmp_path):
+    folder = tmp_path / "LLS_DDOS_1.0" / "data_and_labeling" / "tcpdump_inside"
+    folder.mkdir(parents=True)
+    (folder / "phase-1.list").write_text("no session here\n")
+    (folder / "mid-level-phase-1.xml").write_text("<Alerts><Alert a='1'/> <Alert a='2'/> </Alerts>")
+    bad = [(r.scenario, r.phase, r.n_list, r.n_xml) for r in session_feed.count_mismatches(spark, str(tmp_path)).collect()]
+    assert bad == [("LLS_DDOS_1.0", 1, 0, 2)]
+
+
+def test_an_impossible_date_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from alertloom.functions.temporal import parse_session_clock
+
+    df = spark.createDataFrame([("99/99/2000", "10:00:00"), ("03/07/2000", "10:00:00")], "d string, t string")
+    assert [r[0] is None for r in df.select(parse_session_clock(F.col("d"), F.col("t"))).collect()] == [True, False]
+
+
 def test_inventory(spark, captures):
     found = {(r.scenario, r.vantage, r.phase, r.problem) for r in session_feed.capture_problems(spark, captures).collect()}
     assert ("LLS_DDOS_1.0", "tcpdump_dmz", None, "directory missing") in found
