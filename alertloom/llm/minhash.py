@@ -6,9 +6,12 @@ band, 32 bands a signature. Texts with equal shingle sets form a class, and only
 bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Where
 confirmed edges leave a bucket in several components, its largest one sends another centre to all members
 outside it; in buckets where those times all members are at most ``SMALL``, they also meet every member of
-another component. This goes on until a round adds no link. A class stands in 32 buckets, each with its own centres. The pairs of a round are at most
-the rows of the buckets. At a similarity of 0.75 the bands miss a pair with a probability of 5e-6; a link can
-also stay unseen if it is the only one between two large components and no star of any round draws it.
+another component. This goes on until a round adds no link. A class stands in 32 buckets, each with its own
+centres, and the pairs of a star round are at most the rows of the buckets. Larger buckets still in several
+components are then swept: ``SWEEP`` members, and four times as many each round, meet every member of another
+component that was no centre yet, until all have been centres or the bucket is one component. So no link of two
+members of a bucket stays unseen, and pairs inside a component are never made. At a similarity of 0.75 the bands
+miss a pair with a probability of 5e-6.
 
 Defined results: words are maximal runs of non-blank characters with A-Z lower-cased; a text of one to four
 words is one shingle; texts that are null, empty or blank have an empty set and link with nothing. Rows are
@@ -28,6 +31,7 @@ from alertloom.session import cut_lineage, read_cuts, release
 SHINGLE, BINS, ROWS, BANDS = 5, 128, 4, 32
 PERCENT = 75
 SMALL = 2048
+SWEEP, SALTS = 16, 16
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 2)
 _LENGTH = H.seeds(SHINGLE + 1, 6)
@@ -155,7 +159,7 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
         F.min("doc_id").alias("min_id"), F.min_by(F.struct("doc_id", "_text_key"), F.col("_text_key")).alias("_any"), F.first("bands").alias("bands"))
     classes = cut_lineage(found.select("node", "min_id", F.col("_any.doc_id").alias("any_id"), F.col("_any._text_key").alias("any_key"), "bands"))
     in_band = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = in_band.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = in_band.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     rest = cut_lineage(in_band.join(shared, "bucket"))
     tested = [cut_lineage(_pairs(rest.select(F.col("centre").alias("a"), F.col("node").alias("b"))))]
     nodes = rest.select("node").distinct()
@@ -164,7 +168,7 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
     turn = 0
     while True:
         turn += 1
-        live = rest.select("bucket", "node").join(labels, "node")
+        live = rest.select("bucket", "node", "members").join(labels, "node")
         parts = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("_pick"))
         split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_n"))
         split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"), ((F.col("_n") - F.col("_top.n")) * F.col("_n")).alias("n"))
@@ -183,10 +187,43 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
             break
         old, labels = labels, _merged(labels, found)
         release(old, found)
+    labels = _swept(rest, labels, sets, tested)
     release(rest, sets, *tested)
     return classes, labels
 
 
+def _swept(rest: DataFrame, labels: DataFrame, sets: DataFrame, tested: list) -> DataFrame:
+    """``labels`` after the members of buckets in several components have met all of another component.
+
+    A member is a centre in one round, by a hash of itself and the bucket; ``members`` fixes the shares of the
+    rounds, so their number is the logarithm of the largest bucket. Centres are repeated over ``SALTS`` parts of
+    their bucket, which spreads a bucket over as many tasks.
+    """
+    slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    salt = F.pmod(F.xxhash64("bucket", "node", F.lit(1)), F.lit(SALTS)).cast("int")
+    reach = 0
+    while True:
+        first, reach = reach, reach * 4 or SWEEP
+        placed = rest.where(F.col("members") > first).select("bucket", "node", "members", slot.alias("slot"), salt.alias("salt")).join(labels, "node")
+        split = placed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("bucket")
+        # those below `first` were centres before and have met all others
+        live = cut_lineage(placed.join(split, "bucket").where(F.col("slot") * F.col("members") >= first))
+        if live.isEmpty():
+            release(live)
+            return labels
+        centre = live.where(F.col("slot") * F.col("members") < reach).select(
+            "bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("node").alias("a"), F.col("label").alias("_of"))
+        met = live.join(centre, ["bucket", "salt"]).where("label <> _of").select("a", F.col("node").alias("b"))
+        pairs = cut_lineage(_pairs(met).join(read_cuts(tested), ["a", "b"], "left_anti"))
+        found = _confirmed(pairs, sets)
+        release(live)
+        tested.append(pairs)
+        if not found.isEmpty():
+            old, labels = labels, _merged(labels, found)
+            release(old)
+        release(found)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
 

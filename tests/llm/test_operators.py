@@ -58,6 +58,34 @@ def test_minhash_against_brute_force(docs, no_docs):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 5, 7, 8, 10]
 
 
+def test_no_link_of_a_large_bucket_stays_unseen(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    base = [f"base{i}" for i in range(200)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for at in draw.sample(range(200), draw.choice([3, 4, 5])):
+            words[at] = f"other{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    label = list(range(90))
+    for _ in range(90):
+        before = list(label)
+        for i in range(90):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    assert 3 < len(set(label)) < 60
+    monkeypatch.setattr(minhash, "SMALL", 0)
+    monkeypatch.setattr(minhash, "SWEEP", 2)
+    found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert by_id(found, "component_id") == sorted(enumerate(label), key=repr)
+
+
 def test_densified_signatures_estimate_similarity():
     import pyarrow as pa
 
