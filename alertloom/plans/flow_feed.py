@@ -7,7 +7,7 @@ from .. import schema as S
 from ..functions.lookup import label_stage
 from ..operators import bursts, campaigns, checks, identifier, sampling
 from ..operators.ranking import number_rows
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from ..sources import flows
 
 
@@ -40,25 +40,33 @@ def attack_rows(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("source_file").isin(flows.attack_files()))
 
 
+def _written_rows(raw: DataFrame) -> DataFrame:
+    """``numbered(raw)`` as a written table; text is parsed once, every later pass reads columns."""
+    parsed = cut_lineage(raw)
+    rows = cut_lineage(numbered(parsed))
+    release(parsed)
+    return rows
+
+
 def flow_events(raw: DataFrame, model: PipelineModel, compat=False, gap_minutes=S.CAMPAIGN_GAP_MINUTES,
-                threshold=S.BURST_THRESHOLD) -> DataFrame:
-    """Unified events with predictions: attacks labelled by time gaps, benign rows sampled per day
-    before they are scored, floods collapsed."""
+                threshold=S.BURST_THRESHOLD, benign_budget: dict = None) -> DataFrame:
+    """Unified events with predictions: attacks labelled by time gaps, floods collapsed. All benign rows
+    stay; ``benign_budget`` (options of ``sampling.benign_quota``) samples them per day before they are scored."""
     features = flows.feature_columns(raw)
-    # Text is parsed once; every later pass reads columns of the written copy.
-    rows = cut_lineage(numbered(raw))
+    rows = _written_rows(raw)
     attacks, benign = attack_rows(rows), benign_rows(rows)
-    per_day = lambda df: df.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    per_file = benign.groupBy("source_file", "day").agg(F.count(F.lit(1)).alias("n"))
-    quota = sampling.benign_quota(per_day(attacks), per_file, ["day"])
-    sampled = sampling.exact_sample(benign, ["source_file"], quota)
+    if benign_budget is not None:
+        per_day = lambda df: df.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+        per_file = benign.groupBy("source_file", "day").agg(F.count(F.lit(1)).alias("n"))
+        quota = sampling.benign_quota(per_day(attacks), per_file, ["day"], **benign_budget)
+        benign = sampling.exact_sample(benign, ["source_file"], quota)
 
     light = S.FLOW_LIGHT_COLUMNS + ["event_id", "source_file", "day"]
     score = lambda df: identifier.score_events(model, flows.clean_features(df, features), light)
     attacks = campaigns.label_by_time_gaps(score(attacks), gap_minutes=gap_minutes).withColumns({
         "is_campaign_link": F.lit(True), "attack_type": F.col("label"),
         "kill_chain_stage": label_stage(F.col("label"), compat)})
-    benign = score(sampled).withColumns({
+    benign = score(benign).withColumns({
         "campaign_id": F.lit(S.NO_CAMPAIGN), "is_campaign_link": F.lit(False), "attack_type": F.lit("benign"),
         "kill_chain_stage": F.lit(S.UNKNOWN_STAGE)})
     combined = attacks.unionByName(benign).withColumns({
@@ -81,15 +89,18 @@ def checked_split(events: DataFrame, seed=S.SEED, manifest: DataFrame = None) ->
 
 
 def identifier_sets(raw: DataFrame, target=S.BENIGN_TOTAL_TARGET, floor=S.BENIGN_FLOOR):
-    """(train, test, features): all attacks plus a budgeted benign sample, cut by time within each file."""
+    """(train, test, features), cut by time within each file. ``target`` and ``floor`` bound the benign rows
+    that the model is fitted on; the test side is whole."""
     features = flows.feature_columns(raw)
-    rows = cut_lineage(numbered(raw))
-    benign = benign_rows(rows)
-    quota = sampling.proportional_quota(flows.rows_per_file(benign), target, floor)
-    combined = attack_rows(rows).unionByName(sampling.exact_sample(benign, ["source_file"], quota))
-    split = cut_lineage(sampling.chronological_split(flows.clean_features(combined, features), ["source_file"]))
+    rows = _written_rows(raw)
+    listed = attack_rows(rows).unionByName(benign_rows(rows))
+    split = cut_lineage(sampling.chronological_split(flows.clean_features(listed, features), ["source_file"]))
+    release(rows)
     side = lambda name: split.where(F.col("split") == name).drop("split")
-    return side("train"), side("test"), features
+    benign = benign_rows(side("train"))
+    quota = sampling.proportional_quota(flows.rows_per_file(benign), target, floor)
+    train = attack_rows(side("train")).unionByName(sampling.exact_sample(benign, ["source_file"], quota))
+    return cut_lineage(train), side("test"), features
 
 
 def second_flow_study(train: DataFrame, test: DataFrame, **options) -> DataFrame:

@@ -2,16 +2,14 @@
 A bin or session is published once the watermark passes its end, so the newest stay open."""
 
 from ..streaming import runs
-from .alerts import table
 from .registry import query
 
 
 @query("""WITH w AS (SELECT event_type, date_trunc('hour', ts) AS timestamp, count(*) AS event_count FROM events GROUP BY ALL)
-SELECT * FROM w WHERE event_count > 1 AND epoch_ms(timestamp + INTERVAL 1 HOUR) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+SELECT * FROM w WHERE epoch_ms(timestamp + INTERVAL 1 HOUR) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
 def stream_bursts(spark, sf_dir):
-    table(spark, sf_dir, "events")
     events = runs.stream_table(spark, sf_dir, "events")
-    return runs.run_to_end(runs.burst_counts(events, ["event_type"], 3600, threshold=1, ts_col="ts"))
+    return runs.run_to_end(runs.burst_counts(events, ["event_type"], 3600, ts_col="ts"))
 
 
 @query("""WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS opens FROM events),
@@ -19,6 +17,5 @@ n AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts ROWS
 s AS (SELECT user_id, i, min(ts) AS start, max(ts) AS "end", count(*) AS n_events FROM n GROUP BY ALL)
 SELECT user_id, start, "end", n_events FROM s WHERE epoch_us("end") + 1800000001 <= ((SELECT epoch_ms(max(ts)) FROM events) - 600000) * 1000""")
 def stream_rule_correlation(spark, sf_dir):
-    table(spark, sf_dir, "events")
     events = runs.stream_table(spark, sf_dir, "events")
     return runs.run_to_end(runs.rule_sessions(events, "user_id", ts_col="ts"))

@@ -26,7 +26,8 @@ def csv_header(spark: SparkSession, path: str) -> list:
 def read_flows(spark: SparkSession, root: str, files=None, schema: T.StructType = None) -> DataFrame:
     """All flow files below ``root`` in one scan, with ``source_file`` and ``day``.
 
-    ``files`` keeps the named files only. Files that do not exist add no rows. With no schema the
+    ``files`` keeps the named files only, by default the known ones; ``files="all"`` keeps every file, those of
+    no known day with a null ``day``, and ``unlisted_rows`` counts them. Files that do not exist add no rows. With no schema the
     header of one file decides the columns and statistics stay text until they are cleaned; a file whose
     header has other columns, or the same in another order, stops the scan instead of mixing them up.
     """
@@ -36,8 +37,15 @@ def read_flows(spark: SparkSession, root: str, files=None, schema: T.StructType
             .option("pathGlobFilter", "*.csv").csv(root))
     name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
     tagged = scan.withColumn("source_file", name).withColumn("day", file_day(F.col("source_file")))
-    wanted = list(S.FLOW_FILE_DAY) if files is None else list(files)
-    return tagged.where(F.col("source_file").isin(wanted)).withColumn("timestamp", parse_mixed(F.col("timestamp")))
+    if files != "all":
+        wanted = list(S.FLOW_FILE_DAY) if files is None else list(files)
+        tagged = tagged.where(F.col("source_file").isin(wanted))
+    return tagged.withColumn("timestamp", parse_mixed(F.col("timestamp")))
+
+
+def unlisted_rows(spark: SparkSession, root: str, schema: T.StructType = None) -> DataFrame:
+    """(source_file, n) of the files below ``root`` that ``read_flows`` leaves out."""
+    return rows_per_file(read_flows(spark, root, "all", schema).where(~F.col("source_file").isin(list(S.FLOW_FILE_DAY))))
 
 
 def attack_files() -> list:

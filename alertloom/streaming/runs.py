@@ -18,13 +18,12 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=
 
 
 def burst_counts(events: DataFrame, group_cols, bin_seconds=S.BURST_BIN_SECONDS, late="10 minutes",
-                 threshold: int = 0, ts_col="timestamp") -> DataFrame:
-    """Rows per group and fixed time bin; rows later than the watermark are dropped. A stream cannot
-    know a group's final size, so ``threshold`` applies to each bin."""
+                 ts_col="timestamp") -> DataFrame:
+    """Rows per group and fixed time bin, bins of a single row too; rows later than the watermark are dropped."""
     timed = events.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", late)
     counts = timed.groupBy(*group_cols, F.window("_ts", f"{bin_seconds} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("event_count"))
-    return counts.where(F.col("event_count") > threshold).select(
+    return counts.select(
         *group_cols, F.col("w.start").cast("timestamp_ntz").alias("timestamp"), "event_count")
 
 

@@ -135,6 +135,26 @@ def test_flow_feed(spark, flow_files):
     events.unpersist()
 
 
+def test_no_row_is_cut_unless_asked(spark, flow_files):
+    raw = flows.read_flows(spark, flow_files)
+    train, test, _ = flow_feed.identifier_sets(raw, target=10, floor=1)
+    # 61 background rows: 42 are early, of which at most the budget is fitted on; the other 19 are all tested
+    assert train.where("label = 'Benign'").count() == 10 and test.where("label = 'Benign'").count() == 19
+    model = I.train_identifier(train, test, ["protocol", "duration", "rate"], categorical=["protocol"], trees=2, depth=2)
+    assert flow_feed.flow_events(raw, model).where("campaign_id = 'NONE'").count() == 61
+    few = flow_feed.flow_events(raw, model, benign_budget={"multiplier": 0, "floor": 5, "cap": 7})
+    assert few.where("campaign_id = 'NONE'").count() == 5
+
+
+def test_files_of_no_known_day_are_counted(spark, flow_files, tmp_path):
+    import shutil
+
+    shutil.copy(f"{flow_files}/web_xss.csv", tmp_path / "web_xss.csv")
+    shutil.copy(f"{flow_files}/web_xss.csv", tmp_path / "strange.csv")
+    assert [tuple(r) for r in flows.unlisted_rows(spark, str(tmp_path)).collect()] == [("strange.csv", 41)]
+    assert flows.read_flows(spark, str(tmp_path), "all").where("day IS NULL").count() == 41
+
+
 def test_model_round_trip(spark, flow_files, tmp_path):
     raw = flows.read_flows(spark, flow_files)
     train, test, features = flow_feed.identifier_sets(raw)
