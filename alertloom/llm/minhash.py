@@ -5,12 +5,12 @@ One scan hashes the distinct five-word shingles of every text. A single hash bot
 band, 32 bands a signature. Texts with equal shingle sets form a class, and only classes go on. In every band
 bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Where
 confirmed edges leave a bucket in several components, its largest one sends another centre to all members
-outside it; in buckets where those times all members are at most ``SMALL``, they also meet every member of
-another component. This goes on until a round adds no link. A class stands in 32 buckets, each with its own
-centres, and the pairs of a star round are at most the rows of the buckets. Larger buckets still in several
-components are then swept: ``SWEEP`` members, and four times as many each round, meet every member of another
-component that was no centre yet, until all have been centres or the bucket is one component. So no link of two
-members of a bucket stays unseen, and pairs inside a component are never made. At a similarity of 0.75 the bands
+outside it, until a round adds no link; the pairs of a round are at most the rows of the buckets. Members of
+buckets that are then still in several components are joined exactly: shingles are ordered by how many members
+have them, those of one component only first, and two members of different components can be similar enough only
+if they share a shingle early in both orders (prefix and position filter of set-similarity joins). So no link of
+two members of a bucket stays unseen, and pairs inside a component are never made. What remains are pairs close
+below the threshold: members whose differences are just too many. At a similarity of 0.75 the bands
 miss a pair with a probability of 5e-6.
 
 Defined results: words are maximal runs of non-blank characters with A-Z lower-cased; a text of one to four
@@ -30,8 +30,7 @@ from alertloom.session import cut_lineage, read_cuts, release
 
 SHINGLE, BINS, ROWS, BANDS = 5, 128, 4, 32
 PERCENT = 75
-SMALL = 2048
-SWEEP, SALTS = 16, 16
+PART = 1024
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 2)
 _LENGTH = H.seeds(SHINGLE + 1, 6)
@@ -170,58 +169,58 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
         turn += 1
         live = rest.select("bucket", "node", "members").join(labels, "node")
         parts = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("_pick"))
-        split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_n"))
-        split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"), ((F.col("_n") - F.col("_top.n")) * F.col("_n")).alias("n"))
-        live = cut_lineage(live.join(split, "bucket"))
-        # the largest part of a bucket sends another centre to all members outside it; a small bucket compares them all at once
-        met = live.where("label <> top").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        if turn == 1:
-            small = live.where(F.col("n") <= SMALL)
-            other = small.where("label <> top").select("bucket", F.col("node").alias("_node"), F.col("label").alias("_label"))
-            met = met.union(small.join(other, "bucket").where("label <> _label").select("node", "_node"))
+        split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"))
+        split = split.where("_parts > 1").select("bucket", F.col("_top.label").alias("top"), F.col("_top._pick.node").alias("centre"))
+        # the largest part of a bucket sends another centre to all members outside it
+        met = live.join(split, "bucket").where("label <> top").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         pairs = cut_lineage(_pairs(met).join(read_cuts(tested), ["a", "b"], "left_anti"))
         found = _confirmed(pairs, sets)
-        release(live)
         tested.append(pairs)
         if found.isEmpty():
             break
         old, labels = labels, _merged(labels, found)
         release(old, found)
-    labels = _swept(rest, labels, sets, tested)
+    labels = _joined(rest, labels, sets, tested)
     release(rest, sets, *tested)
     return classes, labels
 
 
-def _swept(rest: DataFrame, labels: DataFrame, sets: DataFrame, tested: list) -> DataFrame:
-    """``labels`` after the members of buckets in several components have met all of another component.
+def _joined(rest: DataFrame, labels: DataFrame, sets: DataFrame, tested: list) -> DataFrame:
+    """``labels`` after an exact similarity join between the components that share a bucket.
 
-    A member is a centre in one round, by a hash of itself and the bucket; ``members`` fixes the shares of the
-    rounds, so their number is the logarithm of the largest bucket. Centres are repeated over ``SALTS`` parts of
-    their bucket, which spreads a bucket over as many tasks.
+    ``left`` counts the shingles of a member from one on in the common order, those other components have too.
+    At the first shingle that two members share, the smaller ``left`` bounds what they have in common. Members of
+    the largest component that a shingle has never meet each other, and a frequent shingle is dealt in parts.
     """
-    slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    salt = F.pmod(F.xxhash64("bucket", "node", F.lit(1)), F.lit(SALTS)).cast("int")
-    reach = 0
-    while True:
-        first, reach = reach, reach * 4 or SWEEP
-        placed = rest.where(F.col("members") > first).select("bucket", "node", "members", slot.alias("slot"), salt.alias("salt")).join(labels, "node")
-        split = placed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("bucket")
-        # those below `first` were centres before and have met all others
-        live = cut_lineage(placed.join(split, "bucket").where(F.col("slot") * F.col("members") >= first))
-        if live.isEmpty():
-            release(live)
-            return labels
-        centre = live.where(F.col("slot") * F.col("members") < reach).select(
-            "bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("node").alias("a"), F.col("label").alias("_of"))
-        met = live.join(centre, ["bucket", "salt"]).where("label <> _of").select("a", F.col("node").alias("b"))
-        pairs = cut_lineage(_pairs(met).join(read_cuts(tested), ["a", "b"], "left_anti"))
-        found = _confirmed(pairs, sets)
-        release(live)
-        tested.append(pairs)
-        if not found.isEmpty():
-            old, labels = labels, _merged(labels, found)
-            release(old)
-        release(found)
+    placed = rest.select("bucket", "node").join(labels, "node")
+    split = placed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("bucket")
+    live = cut_lineage(placed.join(split, "bucket").select("node", "label").distinct())
+    owned = cut_lineage(sets.join(live, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    known = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    known = known.where("_low < _high").select("shingle", "n")
+    ranked = owned.join(known, "shingle").groupBy("node", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"))
+    needed = F.ceil(F.col("size") * F.lit(PERCENT) / 100).cast("int")
+    early = F.slice("_order", F.lit(1), F.greatest(F.size("_order") - needed + 1, F.lit(0)))
+    early = ranked.select("node", "label", "size", F.size("_order").alias("_n"), F.posexplode(early).alias("_at", "_one"))
+    early = cut_lineage(early.select("node", "label", "size", F.col("_one.shingle").alias("shingle"), (F.col("_n") - F.col("_at")).alias("left")))
+    parts = early.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("_top"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_parts"))
+    several = several.where("_parts > 1").select("shingle", F.col("_top.label").alias("top"), F.ceil(F.col("_n") / PART).cast("int").alias("deal"))
+    meeting = cut_lineage(early.join(several, "shingle"))
+    every = meeting.select("shingle", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int").alias("part"), F.col("node").alias("b"),
+                           F.col("label").alias("_b"), F.col("size").alias("_size"), F.col("left").alias("_left"))
+    outer = meeting.where("label <> top").select("shingle", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"), F.col("node").alias("a"),
+                                                 "label", "size", "left", "top")
+    enough = (100 + PERCENT) * F.least("left", "_left") >= PERCENT * (F.col("size") + F.col("_size"))
+    met = outer.join(every, ["shingle", "part"]).where((F.col("label") != F.col("_b")) & ((F.col("_b") == F.col("top")) | (F.col("a") < F.col("b"))) & enough)
+    pairs = cut_lineage(_pairs(met.select("a", "b")).join(read_cuts(tested), ["a", "b"], "left_anti"))
+    found = _confirmed(pairs, sets)
+    tested.append(pairs)
+    if not found.isEmpty():
+        old, labels = labels, _merged(labels, found)
+        release(old)
+    release(live, owned, early, meeting, found)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
