@@ -5,7 +5,7 @@ One scan hashes the distinct five-word shingles of every text. A single hash bot
 band, 32 bands a signature. Texts with equal shingle sets form a class, and only classes go on. In every band
 bucket the smallest member is the centre of a star; star edges are confirmed on the full shingle sets. Where
 confirmed edges leave a bucket in several components, its largest one sends another centre to all members
-outside it, until a round adds no link; the pairs of a round are at most the rows of the buckets. Members of
+outside it, ``STARS`` times or until a round adds no link; the pairs of a round are at most the rows of the buckets. Members of
 buckets that are then still in several components are joined exactly: shingles are ordered by how many members
 have them, those of one component only first, and two members of different components can be similar enough only
 if they share a shingle early in both orders (prefix and position filter of set-similarity joins). So no link of
@@ -30,7 +30,7 @@ from alertloom.session import cut_lineage, read_cuts, release
 
 SHINGLE, BINS, ROWS, BANDS = 5, 128, 4, 32
 PERCENT = 75
-PART = 1024
+STARS, PART = 2, 1024
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 2)
 _LENGTH = H.seeds(SHINGLE + 1, 6)
@@ -164,9 +164,7 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, Dat
     nodes = rest.select("node").distinct()
     sets = _shingles(docs, classes, nodes)
     labels = _merged(nodes.withColumn("label", F.col("node")), _confirmed(tested[0], sets))
-    turn = 0
-    while True:
-        turn += 1
+    for turn in range(1, STARS + 1):
         live = rest.select("bucket", "node", "members").join(labels, "node")
         parts = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("_pick"))
         split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "_pick")).alias("_top"), F.count(F.lit(1)).alias("_parts"))
