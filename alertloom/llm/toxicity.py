@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from alertloom.session import cut_lineage, release
 
-TRAIN_ROWS, CANDIDATES, LEXICON = 8000, 4000, 600
+TRAIN_ROWS = 8000
 MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS, MIN_CONTEXT_SHARE = 5, 0.006, 3.0, 0.25
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
@@ -133,27 +133,23 @@ def _count_terms(stream):
     for batch in stream:
         for text, toxic in zip(batch.column("text"), batch.column("toxic")):
             (positive if toxic.as_py() else negative).update(terms(text.as_py() or ""))
-    names = list(positive)  # a term without a toxic document cannot be chosen
+    names = list(positive | negative)  # another task may hold the toxic documents of a term
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([positive[x] for x in names], pa.int64()), pa.array([negative[x] for x in names], pa.int64())], ["term", "pos", "neg"])
 
 
-def _contexts(chosen):
-    def run(stream):
-        wanted = chosen.value
-        for batch in stream:
-            out = set()
-            for text in batch.column("text").to_pylist():
-                words = (text or "").lower().split()
-                for i, raw in enumerate(words):
-                    word = raw.strip(_STRIP)
-                    hit = [x for x in (word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]) if x in wanted]
-                    if hit:
-                        around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-                        out.update((x, around) for x in hit)
-            rows = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.string())], ["term", "around"])
-
-    return run
+def _contexts(stream):
+    """Distinct neighbour pairs of every term, batch by batch."""
+    for batch in stream:
+        out = set()
+        for text in batch.column("text").to_pylist():
+            words = (text or "").lower().split()
+            for i, raw in enumerate(words):
+                word = raw.strip(_STRIP)
+                if word:
+                    around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
+                    out.update((x, around) for x in (word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]))
+        rows = list(out)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.string())], ["term", "around"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -170,22 +166,26 @@ def held_out():
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms that toxic texts hold far more often than others, in contexts of their own.
 
-    Copies of one toxic text would make all of its words look toxic; their neighbours are always the same, so a
-    term must stand between many different neighbours for its number of documents.
+    Copies of one text count once. Near copies of one toxic text would still make all of its words look toxic;
+    their neighbours are always the same, so a term must stand between many different neighbours for its number of
+    documents. Every term that passes is kept: the sample alone bounds the lexicon.
     """
-    spark = sample.sparkSession
+    sample = cut_lineage(sample.distinct())
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(size) < 2:
+        release(sample)
         return {}
     odds = F.log((F.col("pos") + 0.5) / (size[True] + 1)) - F.log((F.col("neg") + 0.5) / (size[False] + 1))
     counted = sample.mapInArrow(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(MIN_DOCS, MIN_SHARE * size[True])
-    strong = counted.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= MIN_LOG_ODDS))
-    chosen = {r["term"]: (r["pos"], r["odds"]) for r in strong.orderBy(F.desc("odds"), F.desc("pos"), "term").limit(CANDIDATES).collect()}
-    seen = sample.where("toxic").mapInArrow(_contexts(spark.sparkContext.broadcast(set(chosen))), "term string, around string")
-    around = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.countDistinct("around").alias("n")).collect()}
-    kept = [(odds_, t) for t, (pos, odds_) in chosen.items() if around.get(t, 0) >= max(least, MIN_CONTEXT_SHARE * pos)]
-    return {t: o for o, t in sorted(kept, key=lambda x: (-x[0], x[1]))[:LEXICON]}
+    strong = cut_lineage(counted.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= MIN_LOG_ODDS)))
+    seen = sample.where("toxic").mapInArrow(_contexts, "term string, around string").join(strong.select("term"), "term", "left_semi")
+    around = seen.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    kept = strong.join(around, "term").where(F.col("n") >= F.greatest(F.lit(float(least)), MIN_CONTEXT_SHARE * F.col("pos")))
+    lexicon = {r["term"]: r["odds"] for r in kept.select("term", "odds").collect()}
+    release(sample)
+    release(strong)
+    return lexicon
 
 
 def _feature_frame(lexicon, carry):

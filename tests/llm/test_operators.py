@@ -330,3 +330,28 @@ def test_toxicity_on_held_out_rows(spark, docs, no_docs):
     few = spark.createDataFrame([(3, 1, None), (3, None, "x"), (None, 0, "x")], "doc_id long, toxic int, text string")
     assert toxicity.score_toxicity(docs, few).where("score between 0 and 1").count() == docs.count()
     assert toxicity.score_toxicity(no_docs, few.limit(0)).count() == 0
+
+
+def test_copies_and_long_texts_do_not_crowd_out_insults(table):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain = [word() for _ in range(300)]
+    said = lambda: [rng.choice(plain) for _ in range(30)]
+    # 90 near copies of one long toxic text: more terms than 4000, all with better odds than the insult
+    long_text = " ".join(word() for _ in range(1200))
+    rows = [(i, f"{long_text} {word()}", 1) for i in range(90)]
+    for i in range(100, 160):
+        words = said()
+        words.insert(rng.randrange(30), "zorglub")
+        rows.append((i, " ".join(words), 1))
+    rows += [(i, " ".join(said()), 0) for i in range(200, 500)]
+    sample = table([(x, t == 1) for _, x, t in rows], "text string, toxic boolean")
+    lexicon = toxicity.learn_lexicon(sample)
+    assert "zorglub" in lexicon and not any(w in lexicon for w in long_text.split()[:-1])  # the last one stands beside the difference
+    # exact copies count once: the same odds
+    assert toxicity.learn_lexicon(sample.unionAll(sample)) == lexicon
+    docs, labels = table([(i, x) for i, x, _ in rows], "doc_id long, text string"), table([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).where("held_out and doc_id between 100 and 160").collect()
+    assert got and all(r["predicted"] == 1 for r in got)
