@@ -1,5 +1,5 @@
 """Streaming queries, run over all input there is and compared with their batch meaning.
-A bin or session is published once the watermark passes its end, so the newest stay open."""
+A bin or session is published once the watermark passes its end; at the end of the input the open ones follow."""
 
 from ..streaming import runs
 from .registry import query
@@ -9,7 +9,8 @@ from .registry import query
 SELECT * FROM w WHERE epoch_ms(timestamp + INTERVAL 1 HOUR) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
 def stream_bursts(spark, sf_dir):
     events = runs.stream_table(spark, sf_dir, "events")
-    return runs.run_to_end(runs.burst_counts(events, ["event_type"], 3600, ts_col="ts"))
+    counts = runs.burst_counts(events, ["event_type"], 3600, ts_col="ts")
+    return runs.run_to_end(counts, still_open=lambda state: runs.open_bursts(state, ["event_type"]))
 
 
 @query("""WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS opens FROM events),
@@ -18,4 +19,5 @@ s AS (SELECT user_id, i, min(ts) AS start, max(ts) AS "end", count(*) AS n_event
 SELECT user_id, start, "end", n_events FROM s WHERE epoch_us("end") + 1800000001 <= ((SELECT epoch_ms(max(ts)) FROM events) - 600000) * 1000""")
 def stream_rule_correlation(spark, sf_dir):
     events = runs.stream_table(spark, sf_dir, "events")
-    return runs.run_to_end(runs.rule_sessions(events, "user_id", ts_col="ts"))
+    sessions = runs.rule_sessions(events, "user_id", ts_col="ts")
+    return runs.run_to_end(sessions, still_open=lambda state: runs.open_sessions(state, "user_id"))

@@ -5,16 +5,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..session import delete_on_exit, shared_dir
+from ..session import _file_system, delete_on_exit, shared_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=None) -> DataFrame:
-    """A table folder as a file stream."""
+    """A table, one file or a folder of part files, as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    # a stream takes a plain path for a folder; a pattern may also name a file
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def burst_counts(events: DataFrame, group_cols, bin_seconds=S.BURST_BIN_SECONDS, late="10 minutes",
@@ -41,12 +42,34 @@ def rule_sessions(events: DataFrame, key: str, minutes=S.RULE_WINDOW_MINUTES, la
         key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("end"), "n_events")
 
 
-def run_to_end(stream: DataFrame, mode="append") -> DataFrame:
-    """Run a stream over all input there is now, into a fresh folder all executors share."""
+def open_bursts(state: DataFrame, group_cols) -> DataFrame:
+    """Bins that ``burst_counts`` still holds open, as it would publish them."""
+    return state.select(
+        *[F.col("key").getField(c).alias(c) for c in group_cols],
+        F.col("key.window.start").cast("timestamp_ntz").alias("timestamp"), F.col("value.count").alias("event_count"))
+
+
+def open_sessions(state: DataFrame, key: str) -> DataFrame:
+    """Campaigns that ``rule_sessions`` still holds open, as it would publish them."""
+    return state.select(
+        F.col("key").getField(key).alias(key), F.col("value.session_window.start").cast("timestamp_ntz").alias("start"),
+        F.col("value.max").cast("timestamp_ntz").alias("end"), F.col("value.count").alias("n_events"))
+
+
+def run_to_end(stream: DataFrame, mode="append", still_open=None) -> DataFrame:
+    """Run a stream over all input there is now, into a fresh folder all executors share.
+
+    The watermark publishes nothing above it. On finite input ``still_open`` closes that tail: it makes rows of
+    the stream out of the state that is left at the end.
+    """
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     delete_on_exit(spark, folder)
     query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state")
              .trigger(availableNow=True).start(f"{folder}/rows"))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rows = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    fs, state = _file_system(spark, f"{folder}/state/state")
+    if still_open is None or not fs.exists(state):  # no file, no state
+        return rows
+    return rows.unionByName(still_open(spark.read.format("statestore").load(f"{folder}/state")))
