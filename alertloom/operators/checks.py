@@ -81,9 +81,17 @@ def constant_features(pairs: DataFrame, features) -> DataFrame:
         "is_constant", F.col("n_values") <= 1)
 
 
-def reconcile(left: DataFrame, right: DataFrame, key, left_n="n_list", right_n="n_xml") -> DataFrame:
-    """Keys present on both sides whose counts differ."""
-    both = left.join(right, key)
+def reconcile(left: DataFrame, right: DataFrame, key, left_n="n_list", right_n="n_xml", keys: DataFrame = None) -> DataFrame:
+    """Keys whose counts differ; a side that lacks a key counts 0 there, and a null key is a key.
+
+    ``keys`` lists the keys that must have a count; without it they are those of either side.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    none = F.lit(0).cast("long")
+    sides = left.select(*key, left_n, none.alias(right_n)).unionByName(right.select(*key, none.alias(left_n), right_n))
+    both = sides.groupBy(*key).agg(F.sum(left_n).alias(left_n), F.sum(right_n).alias(right_n))
+    if keys is not None:
+        both = both.join(keys, key, "left_semi")
     return both.where(F.col(left_n) != F.col(right_n))
 
 

@@ -22,8 +22,7 @@ def count_mismatches(spark: SparkSession, root: str, scenarios=S.SCENARIOS) -> D
     files = sessions.read_inventory(spark, root).where(F.col("scenario").isin(list(scenarios)))
     files = files.where("list_bytes is not null and truth_xml_bytes is not null")
     files = files.withColumn("vantage", map_values(F.col("vantage"), S.VANTAGE_DIRS)).select(*key)
-    both = files.join(listed, key, "left").join(truth, key, "left").fillna(0, ["n_list", "n_xml"])
-    return both.where("n_list <> n_xml")
+    return checks.reconcile(listed, truth, key, keys=files)
 
 
 def label(parsed: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.operators import bursts, campaigns, pairing, ranking, sampling
+from alertloom.operators import bursts, campaigns, checks, pairing, ranking, sampling
+from alertloom.plans import check_queries
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -139,3 +140,20 @@ def test_pools_are_whole_and_bounded(spark):
     assert pairing.distractors_in_range(df).count() == len(reach)
     pairs = pairing.pool_pairs(pairing.episode_pool(df)).collect()
     assert len(pairs) == len([r for r in pool if (r.timestamp, r.event_id) > (camp[0][1], camp[0][0])])
+
+
+def test_reconcile_counts_absent_keys_as_zero(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, n_list long")
+    right = spark.createDataFrame([("a", 1), ("b", 5), ("d", 6), (None, 7)], "k string, n_xml long")
+    found = checks.reconcile(left, right, "k")
+    assert {tuple(r) for r in found.collect()} == {("b", 2, 5), ("c", 3, 0), ("d", 0, 6), (None, 4, 7)}
+    asked = checks.reconcile(left, right, "k", keys=left.sparkSession.createDataFrame([("a",), ("d",), ("e",)], "k string"))
+    assert {tuple(r) for r in asked.collect()} == {("d", 0, 6)}
+
+
+def test_reconcile_counts_query_has_days_of_one_side(spark, sf_dir):
+    days = lambda t, c: {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").groupBy(c).count().collect()}
+    orders, items = days("orders", "o_orderdate"), days("lineitem", "l_shipdate")
+    want = {(d, orders.get(d, 0), items.get(d, 0)) for d in {*orders, *items} if orders.get(d, 0) != items.get(d, 0)}
+    assert {tuple(r) for r in check_queries.reconcile_counts(spark, sf_dir).collect()} == want
+    assert any(a == 0 for _, a, _ in want)
