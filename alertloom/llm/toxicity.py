@@ -156,7 +156,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """At most ``rows`` labelled documents ``text, toxic`` outside the held-out third, written once."""
     known = labels.where("toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")))
+    # an id may stand on many rows: equal rows once, then the first again, so that the bound holds for rows too
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)
+    return cut_lineage(found.select("text", (F.col("toxic") > 0).alias("toxic")))
 
 
 def held_out():
