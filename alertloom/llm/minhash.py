@@ -227,26 +227,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``kept`` is true where ``doc_id`` is the component's; it is also true for a row that can have no component
     because it has neither words nor an id. ``_text_key`` (a hash of the text) tells rows of one id apart.
     """
+    return _marked(docs).drop("_label")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the component as ``_label``, also where no row of it has an id; null without words."""
     sketched = cut_lineage(sketch(docs))
     classes, labels = linked_classes(docs, sketched)
     whole = classes.select("node", "min_id").join(labels, "node", "left").select("node", "min_id", F.coalesce("label", "node").alias("label"))
     least = whole.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    named = cut_lineage(whole.join(least, "label").select("node", "component_id"))
+    named = cut_lineage(whole.join(least, "label").select("node", "component_id", F.col("label").alias("_label")))
     out = sketched.drop("bands").join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "_text_key")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "_text_key", "_label")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group; of repeated rows of the id that stays, one remains.
+    """``docs`` with one row of each group: its smallest id and, of several texts with that id or none, one.
 
     Rows without words have no group and all stay.
     """
-    marks = near_duplicates(docs)
-    stays = marks.where("kept").groupBy("doc_id", "_text_key").agg(F.max("n_shingles").alias("_n"), F.first("component_id").alias("_c"))
+    bare = F.col("_label").isNull()
+    group = ["_label", F.when(bare, F.col("doc_id")).alias("_i"), F.when(bare, F.col("_text_key")).alias("_k")]
+    stays = _marked(docs).where("kept").groupBy(*group).agg(F.min(F.struct("doc_id", "_text_key")).alias("_m"), F.max("n_shingles").alias("_n"))
     names = docs.columns
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_k": F.xxhash64("text")})
-    other = stays.select(F.col("doc_id").alias("_i2"), F.col("_text_key").alias("_k2"), "_n", "_c")
+    other = stays.select(F.col("_m.doc_id").alias("_i2"), F.col("_m._text_key").alias("_k2"), "_n")
     joined = keyed.join(other, keyed["_id"].eqNullSafe(other["_i2"]) & (keyed["_k"] == other["_k2"]))
     without = joined.where("_n = 0").select(*names)
     return without.unionByName(joined.where("_n > 0").dropDuplicates(["_id", "_k"]).select(*names))

@@ -364,3 +364,13 @@ def test_training_rows_are_bounded_by_rows(table):
     for bound in (20, 1000):
         sample = [tuple(r) for r in toxicity.training_rows(docs, labels, bound).collect()]
         assert 0 < len(sample) <= bound and len(set(sample)) == len(sample)
+
+
+def test_near_copies_without_ids_leave_one_row(table):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, f"{words} {x}") for x in ("a", "b", "c", "c")] + [(7, f"{other} {x}") for x in ("a", "b")] + [(8, f"{other} c"), (None, "x y z"), (None, ""), (None, None)]
+    left = [tuple(r) for r in minhash.drop_near_duplicates(table(rows, "doc_id long, text string")).collect()]
+    assert len([x for i, x in left if x and x.startswith("w0")]) == 1
+    assert [i for i, x in left if x and x.startswith("v0")] == [7]
+    assert len(left) == 5
