@@ -57,8 +57,8 @@ def constant_feature_audit(spark, sf_dir):
 
 
 @query("""
-SELECT day, n_list, n_xml FROM (SELECT o_orderdate AS day, count(*) AS n_list FROM orders GROUP BY 1)
-JOIN (SELECT l_shipdate AS day, count(*) AS n_xml FROM lineitem GROUP BY 1) USING (day) WHERE n_list <> n_xml""")
+SELECT day, coalesce(a.n, 0) AS n_list, coalesce(b.n, 0) AS n_xml FROM (SELECT o_orderdate AS day, count(*) AS n FROM orders GROUP BY 1) a
+FULL JOIN (SELECT l_shipdate AS day, count(*) AS n FROM lineitem GROUP BY 1) b USING (day) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def reconcile_counts(spark, sf_dir):
     n = lambda name, day, out: table(spark, sf_dir, name).groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias(out))
     return Q.reconcile(n("orders", "o_orderdate", "n_list"), n("lineitem", "l_shipdate", "n_xml"), "day")
@@ -67,18 +67,23 @@ def reconcile_counts(spark, sf_dir):
 INVENTORY_SQL = """inventory AS (SELECT p_brand AS scenario, p_type AS vantage, p_size % 5 AS phase,
   sum(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END) AS dump_bytes,
   max(CASE WHEN p_size % 7 < 3 THEN NULL WHEN p_size % 7 < 5 THEN 0 ELSE p_size END) AS truth_xml_bytes
-  FROM part GROUP BY ALL)"""
+  FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY) GROUP BY ALL)"""
 
 
 @query(f"""WITH {INVENTORY_SQL}, phases AS (SELECT scenario, vantage, count(DISTINCT phase) AS n FROM inventory GROUP BY ALL)
 SELECT scenario, vantage, CAST(NULL AS INTEGER) AS phase, 'fewer than 2 phases' AS problem FROM phases WHERE n < 2
+UNION ALL SELECT DISTINCT p_brand, p_type, CAST(NULL AS INTEGER), 'directory missing' FROM part WHERE (p_brand, p_type) NOT IN (SELECT (scenario, vantage) FROM inventory)
 UNION ALL SELECT scenario, vantage, phase, 'dump is empty' FROM inventory WHERE coalesce(dump_bytes, 0) = 0
 UNION ALL SELECT scenario, vantage, phase, 'truth is missing' FROM inventory WHERE truth_xml_bytes IS NULL
 UNION ALL SELECT scenario, vantage, phase, 'truth is empty' FROM inventory WHERE truth_xml_bytes = 0""")
 def inventory_problems(spark, sf_dir):
+    """Every brand and type should show, those shipped on the last two days do."""
     part = table(spark, sf_dir, "part")
+    items = table(spark, sf_dir, "lineitem")
+    from_day = items.agg((F.max("l_shipdate") - F.expr("INTERVAL '1' DAY")).alias("d")).scalar()
+    lately = items.where(F.col("l_shipdate") >= from_day).select(F.col("l_partkey").alias("p_partkey"))
     m = F.col("p_size") % 7
-    inventory = part.groupBy(
+    inventory = part.join(lately, "p_partkey", "left_semi").groupBy(
         F.col("p_brand").alias("scenario"), F.col("p_type").alias("vantage"), (F.col("p_size") % 5).alias("phase")).agg(
         F.sum(F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size"))).alias("dump_bytes"),
         F.max(F.when(m < 3, None).when(m < 5, 0).otherwise(F.col("p_size"))).alias("truth_xml_bytes"))
