@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.temporal import minutes_between
-from .ranking import join_on, running
+from .ranking import join_on, range_bucket, running
 
 
 def host_roles(events: DataFrame, scope="scenario", install=None, internal_prefix=S.INTERNAL_PREFIX) -> DataFrame:
@@ -50,11 +50,11 @@ def number_campaigns(spans: DataFrame, day="day", block="source_file", gap_minut
     ``spans`` is read several times; it is one row per block, far smaller than the events.
     """
     order = ["start", block]
-    hour = F.date_trunc("hour", F.col("start"))
-    seen = running(spans, [day], hour, order, F.col("end"), "_seen_end", "max", inclusive=False)
+    place = range_bucket(spans, [day], order)
+    seen = running(spans, [day], place, order, F.col("end"), "_seen_end", "max", inclusive=False)
     opens = F.col("_seen_end").isNotNull() & (minutes_between(F.col("_seen_end"), F.col("start")) > gap_minutes)
     flagged = seen.withColumn("_opens", opens.cast("long"))
-    numbered = running(flagged, [day], hour, order, F.col("_opens"), "campaign_index", "sum", inclusive=True)
+    numbered = running(flagged, [day], place, order, F.col("_opens"), "campaign_index", "sum", inclusive=True)
     name = F.concat(F.lit(prefix), F.col(day).cast("string"), F.lit("_c"), F.col("campaign_index").cast("string"))
     return numbered.withColumn("campaign_id", name).drop("_seen_end", "_opens")
 

@@ -3,14 +3,19 @@
 A plain window over a group sorts the whole group in one task. The helpers here
 split a group along its sort order into buckets, fold every bucket to one row
 (with map-side combine), carry the fold across the buckets, and only sort inside
-a bucket. ``bucket`` must be a coarsening of ``order``: if row x sorts before
-row y then bucket(x) <= bucket(y).
+a bucket. ``bucket`` must be a coarsening of ``order`` inside every group: if row x sorts
+before row y then bucket(x) <= bucket(y). ``range_bucket`` makes one of equal shares, wherever
+the rows crowd.
+
+Group and bucket travel as one struct. It is never null and equal when its fields are, so the
+window and the join of the carry ask for the same partitioning: the rows are shuffled once.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+SAMPLED = 32  # sampled rows per bucket
 BEFORE = (W.unboundedPreceding, -1)
 THROUGH = (W.unboundedPreceding, W.currentRow)
 
@@ -36,6 +41,31 @@ def _combine(fold: str, carry: Column, inner: Column) -> Column:
     return F.when(inner.isNull() | (carry > inner), carry).otherwise(inner)
 
 
+def range_bucket(df: DataFrame, group, order, buckets: int = None) -> Column:
+    """Bucket number of a row by (group, order): ranges with about equally many rows.
+
+    The bounds come from the ``SAMPLED`` rows per bucket with the lowest digests, read in one pass over these
+    columns only; a few thousand rows reach the driver, whatever the size. Only groups larger than a bucket are
+    split, and rows that crowd in one moment are split by the later columns of ``order``. Rows that agree in
+    all of them stay together. ``buckets`` is the number of shuffle partitions by default.
+    """
+    spark = df.sparkSession
+    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = [*group, *order]
+    ranked = df.select(F.struct(*columns).alias("_k"), F.xxhash64(*columns).alias("_d")).orderBy("_d").limit(SAMPLED * buckets)
+    drawn = [r[0] for r in ranked.select("_k").orderBy("_k").collect()]
+    bounds = [drawn[i] for i in range(SAMPLED, len(drawn), SAMPLED)]
+    if not bounds:
+        return F.lit(0)
+    kinds = [df.select(c).schema[0].dataType for c in columns]
+    literal = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"c{i}") for i, (v, kind) in enumerate(zip(b, kinds))]) for b in bounds])
+    key = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    # binary search: as many of the bounds as do not lie above the row
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        (at + step <= len(bounds)) & (F.get(literal, at + step - 1) <= key), at + step).otherwise(at))
+
+
 def running(df: DataFrame, group, bucket: Column, order, value: Column, out: str,
             fold: str = "sum", inclusive: bool = True) -> DataFrame:
     """Running fold of ``value`` per group, in two levels.
@@ -45,14 +75,18 @@ def running(df: DataFrame, group, bucket: Column, order, value: Column, out: str
     """
     group = list(group)
     agg = F.sum if fold == "sum" else F.max
-    rows = df.withColumns({"_b": bucket, "_v": value})
-    totals = rows.groupBy(*group, "_b").agg(agg("_v").alias("_t"))
-    across = W.partitionBy(*group).orderBy("_b").rowsBetween(*BEFORE)
-    carry = totals.select(*group, "_b", agg("_t").over(across).alias("_c"))
-    inside = W.partitionBy(*group, "_b").orderBy(*order).rowsBetween(*(THROUGH if inclusive else BEFORE))
+    rows = df.withColumns({"_b": _placed(group, bucket), "_v": value})
+    totals = rows.groupBy("_b").agg(agg("_v").alias("_t"))
+    across = W.partitionBy(F.struct(*[F.col("_b")[c] for c in group])).orderBy("_b._bucket").rowsBetween(*BEFORE)
+    carry = totals.select(F.col("_b").alias("_cb"), agg("_t").over(across).alias("_c"))
+    inside = W.partitionBy("_b").orderBy(*order).rowsBetween(*(THROUGH if inclusive else BEFORE))
     rows = rows.withColumn("_i", agg("_v").over(inside))
-    joined = join_on(rows, carry, group + ["_b"])
-    return joined.withColumn(out, _combine(fold, F.col("_c"), F.col("_i"))).drop("_b", "_v", "_i", "_c")
+    joined = rows.join(carry, F.col("_b") == F.col("_cb"))
+    return joined.withColumn(out, _combine(fold, F.col("_c"), F.col("_i"))).drop("_b", "_cb", "_v", "_i", "_c")
+
+
+def _placed(group, bucket: Column) -> Column:
+    return F.struct(*[F.col(c) for c in group], bucket.alias("_bucket"))
 
 
 def number_rows(df: DataFrame, group, bucket: Column, order, out: str = "rn") -> DataFrame:
@@ -68,8 +102,8 @@ def mark_first(df: DataFrame, group, bucket: Column, order, quota, out: str = "i
     only rows of the one bucket per group that the quota cuts are sorted.
     """
     group = list(group)
-    rows = df.withColumn("_b", bucket)
-    hist = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.withColumn("_b", _placed(group, bucket))
+    hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("*", *[F.col("_b")[c].alias(c) for c in group])
     per_group = W.partitionBy(*group)
     hist = hist.withColumns({
         "_before": F.coalesce(F.sum("_n").over(per_group.orderBy("_b").rowsBetween(*BEFORE)), F.lit(0)),
@@ -81,11 +115,11 @@ def mark_first(df: DataFrame, group, bucket: Column, order, quota, out: str = "i
     else:
         hist = hist.withColumn("_q", quota(F.col("_size")).cast("long"))
     fate = hist.select(
-        *group, "_b", (F.col("_q") - F.col("_before")).alias("_left"),
+        F.col("_b").alias("_cb"), (F.col("_q") - F.col("_before")).alias("_left"),
         F.when(F.col("_before") + F.col("_n") <= F.col("_q"), "in")
         .when(F.col("_before") >= F.col("_q"), "out").otherwise("cut").alias("_fate"))
-    joined = join_on(rows, fate, group + ["_b"])
+    joined = rows.join(fate, F.col("_b") == F.col("_cb"))
     whole = joined.where("_fate <> 'cut'").withColumn(out, F.col("_fate") == "in")
-    w = W.partitionBy(*group, "_b").orderBy(*order)
+    w = W.partitionBy("_b").orderBy(*order)
     cut = joined.where("_fate = 'cut'").withColumn(out, F.row_number().over(w) <= F.col("_left"))
-    return whole.unionByName(cut).drop("_b", "_left", "_fate")
+    return whole.unionByName(cut).drop("_b", "_cb", "_left", "_fate")

@@ -5,15 +5,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema as S
 from ..functions.numeric import benign_budget, share_budget
 from ..functions.text import seeded_hash
-from .ranking import join_on, mark_first
+from .ranking import join_on, mark_first, range_bucket
 
 
 def chronological_split(df: DataFrame, group_cols=("source_file",), ts_col="timestamp", id_col="event_id",
                         train_fraction=S.TRAIN_FRACTION, bucket: Column = None) -> DataFrame:
     """First ``floor(n * fraction)`` rows of each group in time order are "train".
-    ``bucket`` coarsens the order; the minute by default."""
+    ``bucket`` coarsens the order; ranges of equal shares by default."""
     fraction = F.lit(float(train_fraction))
-    bucket = F.date_trunc("minute", F.col(ts_col)) if bucket is None else bucket
+    bucket = range_bucket(df, group_cols, [ts_col, id_col]) if bucket is None else bucket
     marked = mark_first(df, group_cols, bucket, [ts_col, id_col],
                         lambda n: F.floor(n * fraction), "_train")
     return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
