@@ -75,14 +75,14 @@ def running(df: DataFrame, group, bucket: Column, order, value: Column, out: str
     """
     group = list(group)
     agg = F.sum if fold == "sum" else F.max
-    rows = df.withColumns({"_b": _placed(group, bucket), "_v": value})
-    totals = rows.groupBy("_b").agg(agg("_v").alias("_t"))
-    across = W.partitionBy(F.struct(*[F.col("_b")[c] for c in group])).orderBy("_b._bucket").rowsBetween(*BEFORE)
-    carry = totals.select(F.col("_b").alias("_cb"), agg("_t").over(across).alias("_c"))
-    inside = W.partitionBy("_b").orderBy(*order).rowsBetween(*(THROUGH if inclusive else BEFORE))
-    rows = rows.withColumn("_i", agg("_v").over(inside))
-    joined = rows.join(carry, F.col("_b") == F.col("_cb"))
-    return joined.withColumn(out, _combine(fold, F.col("_c"), F.col("_i"))).drop("_b", "_cb", "_v", "_i", "_c")
+    rows = df.withColumns({"__b": _placed(group, bucket), "__v": value})
+    totals = rows.groupBy("__b").agg(agg("__v").alias("__t"))
+    across = W.partitionBy(F.struct(*[F.col("__b")[c] for c in group])).orderBy("__b._bucket").rowsBetween(*BEFORE)
+    carry = totals.select(F.col("__b").alias("__cb"), agg("__t").over(across).alias("__c"))
+    inside = W.partitionBy("__b").orderBy(*order).rowsBetween(*(THROUGH if inclusive else BEFORE))
+    rows = rows.withColumn("__i", agg("__v").over(inside))
+    joined = rows.join(carry, F.col("__b") == F.col("__cb"))
+    return joined.withColumn(out, _combine(fold, F.col("__c"), F.col("__i"))).drop("__b", "__cb", "__v", "__i", "__c")
 
 
 def _placed(group, bucket: Column) -> Column:
@@ -102,24 +102,24 @@ def mark_first(df: DataFrame, group, bucket: Column, order, quota, out: str = "i
     only rows of the one bucket per group that the quota cuts are sorted.
     """
     group = list(group)
-    rows = df.withColumn("_b", _placed(group, bucket))
-    hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("*", *[F.col("_b")[c].alias(c) for c in group])
+    rows = df.withColumn("__b", _placed(group, bucket))
+    hist = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("*", *[F.col("__b")[c].alias(c) for c in group])
     per_group = W.partitionBy(*group)
     hist = hist.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(per_group.orderBy("_b").rowsBetween(*BEFORE)), F.lit(0)),
-        "_size": F.sum("_n").over(per_group),
+        "__before": F.coalesce(F.sum("__n").over(per_group.orderBy("__b").rowsBetween(*BEFORE)), F.lit(0)),
+        "__size": F.sum("__n").over(per_group),
     })
     if isinstance(quota, DataFrame):
-        wanted = quota.select(*group, F.col("quota").cast("long").alias("_q"))
+        wanted = quota.select(*group, F.col("quota").cast("long").alias("__q"))
         hist = join_on(hist, wanted, group)
     else:
-        hist = hist.withColumn("_q", quota(F.col("_size")).cast("long"))
+        hist = hist.withColumn("__q", quota(F.col("__size")).cast("long"))
     fate = hist.select(
-        F.col("_b").alias("_cb"), (F.col("_q") - F.col("_before")).alias("_left"),
-        F.when(F.col("_before") + F.col("_n") <= F.col("_q"), "in")
-        .when(F.col("_before") >= F.col("_q"), "out").otherwise("cut").alias("_fate"))
-    joined = rows.join(fate, F.col("_b") == F.col("_cb"))
-    whole = joined.where("_fate <> 'cut'").withColumn(out, F.col("_fate") == "in")
-    w = W.partitionBy("_b").orderBy(*order)
-    cut = joined.where("_fate = 'cut'").withColumn(out, F.row_number().over(w) <= F.col("_left"))
-    return whole.unionByName(cut).drop("_b", "_cb", "_left", "_fate")
+        F.col("__b").alias("__cb"), (F.col("__q") - F.col("__before")).alias("__left"),
+        F.when(F.col("__before") + F.col("__n") <= F.col("__q"), "in")
+        .when(F.col("__before") >= F.col("__q"), "out").otherwise("cut").alias("__fate"))
+    joined = rows.join(fate, F.col("__b") == F.col("__cb"))
+    whole = joined.where("__fate <> 'cut'").withColumn(out, F.col("__fate") == "in")
+    w = W.partitionBy("__b").orderBy(*order)
+    cut = joined.where("__fate = 'cut'").withColumn(out, F.row_number().over(w) <= F.col("__left"))
+    return whole.unionByName(cut).drop("__b", "__cb", "__left", "__fate")
