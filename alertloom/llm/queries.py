@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import chat, decontaminate, minhash, mixing, pii, quality, repeats, sharding, toxicity, warc
+from alertloom.llm import (
+    chat, decontaminate, manifest, minhash, mixing, pii, quality, repeats, set_join, sharding, toxicity, warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,3 +57,16 @@ def op8_suffix_array_dedup(spark, sf_dir):
 
 def op10_bootstrapped_personal_data(spark, sf_dir):
     return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    rows = manifest.merkle_manifest(docs, found=manifest.leaf_digest([*manifest.FIELDS[:-1], tampered]))
+    folded = rows.withColumn("folded_root", manifest.fold(F.col("path"), F.col("found")))
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_set_relation_join(spark, sf_dir):
+    return set_join.jaccard_components(_read(spark, sf_dir, "documents"))
