@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.llm import (
-    chat, decontaminate, manifest, minhash, mixing, pii, quality, repeats, set_join, sharding, toxicity, warc,
+    chat, decontaminate, manifest, minhash, mixing, pii, quality, repeats, set_join, sharding, toxicity, variants, warc,
 )
 
 
@@ -70,3 +70,7 @@ def op12_merkle_manifest(spark, sf_dir):
 
 def op13_set_relation_join(spark, sf_dir):
     return set_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op11_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(_read(spark, sf_dir, "documents"))
