@@ -9,12 +9,13 @@ before which a link must show. The list of a shingle is cut into blocks by set s
 shingles of its set are left from its position on, so it knows the largest partner it can still link with, and
 skips all blocks of the list beyond: deep positions meet only blocks of small sets.
 
-*Answers.* In each block the smallest member is a pivot that all others are compared with, twice; a set
-linked to a pivot is represented by it, and its misses are its shingles that the pivot lacks. Of the sets of other
+*Answers.* In each block the smallest member is a pivot, and every set is compared with the one it meets most, twice; a
+set linked to a pivot is represented by it, and its misses are its shingles that the pivot lacks. Of the sets of other
 components only representatives meet. What two representatives have in common, plus the misses of two of their
 sets, bounds what those have in common: where that is too little, all pairs of the two groups are answered at once.
 The other groups' sets meet in the blocks of the index, each pair under the bound of its own misses, and are
-compared on their full sets. Pairs inside a component are never made. So no link between components stays unseen,
+compared on their full sets. Before any comparison, parities of the shingles in 512 parts bound the difference of two
+sets from below; a representative's bits serve its whole group, less the farthest member's difference. Pairs inside a component are never made. So no link between components stays unseen,
 while a family of copies costs a comparison per copy.
 
 Defined results: words are maximal runs of non-blank characters with A-Z lower-cased; a text of fewer than
@@ -32,7 +33,7 @@ from alertloom.llm import hashing as H
 from alertloom.llm.components import components
 from alertloom.session import cut_lineage, read_cuts, release
 
-SHINGLE, PERCENT, SAMPLE, STARS, PART = 4, 85, 4, 2, 1024
+SHINGLE, PERCENT, SAMPLE, STARS, PART, WORDS = 4, 85, 4, 2, 1024, 8
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 12)
 _LENGTH = H.seeds(SHINGLE + 1, 16)
@@ -82,11 +83,26 @@ def _sketch(stream):
                 ["doc_id", "_text_key", "n_shingles", "node", "sample"])
 
 
+def _parities(values, offsets):
+    """``WORDS`` * 64 bits per non-empty set: which of as many parts of all shingles hold an odd number of its own.
+
+    A shingle that two sets do not share changes one bit, so the bits in which they differ are at most the shingles
+    in which they differ.
+    """
+    part = (values >> H.U64(40)) % H.U64(64 * WORDS)
+    bit = H.U64(1) << (part % H.U64(64))
+    words = [np.bitwise_xor.reduceat(np.where(part // H.U64(64) == w, bit, H.U64(0)), offsets[:-1]) for w in range(WORDS)]
+    flat = np.stack(words, axis=1).ravel()
+    return _list_array(flat, np.arange(0, len(flat) + 1, WORDS))
+
+
 def _full(stream):
     for whole in stream:
         for batch in H.batches(whole):
-            values, offsets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _list_array(values, offsets)], ["node", "shingles"])
+            values, offsets = shingle_sets(batch.column("text"))  # none is empty
+            sizes = pa.array(np.diff(offsets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, _parities(values, offsets), _list_array(values, offsets)],
+                                             ["node", "size", "bits", "shingles"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -102,6 +118,12 @@ def _enough(common: Column, size: Column, other: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (size + other)
 
 
+def _near(a: Column, b: Column, size: Column, other: Column, slack=0) -> Column:
+    """Whether the bits ``a`` and ``b`` allow two sets of these sizes to be similar, each up to ``slack`` in all from them."""
+    differ = sum([F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WORDS)], F.lit(0)) - slack
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (size + other)
+
+
 def _open_classes(sketched: DataFrame) -> DataFrame:
     """``node, any_id, any_key`` of the classes that the sampled shingles leave open: one text of each."""
     sampled = sketched.where("node IS NOT NULL").select("node", F.explode("sample").alias("shingle"))
@@ -115,10 +137,11 @@ def _open_classes(sketched: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, shingles`` of the given classes."""
+    """``node, size, bits, shingles`` of the given classes."""
     rows = _texts(docs)
     on = rows["doc_id"].eqNullSafe(classes["any_id"]) & (rows["_text_key"] == classes["any_key"])
-    return rows.join(classes, on).select("node", "text").dropDuplicates(["node"]).mapInArrow(_full, "node long, shingles array<long>")
+    return rows.join(classes, on).select("node", "text").dropDuplicates(["node"]).mapInArrow(
+        _full, "node long, size int, bits array<long>, shingles array<long>")
 
 
 def _block(size: Column) -> Column:
@@ -131,7 +154,7 @@ def _index(sets: DataFrame) -> DataFrame:
     ``left`` counts the shingles of the set from the entry on that other sets have too. ``deepest`` is the last block
     of smaller or equal sets that the entry may link with; the first is given by its size.
     """
-    owned = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    owned = sets.select("node", "size", F.explode("shingles").alias("shingle"))
     known = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = owned.join(known, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"))
     needed = F.ceil(F.col("size") * F.lit(PERCENT) / 100).cast("int")
@@ -170,12 +193,18 @@ def _unordered(rows: DataFrame) -> DataFrame:
 
 
 def _stars(entries: DataFrame, sets: DataFrame) -> list:
-    """Links of the blocks' pivots, as written tables; the second round is among the sets that the first left alone."""
+    """What the sets have in common with a pivot, as written tables; the second round is among those that the first left alone.
+
+    A set is compared with the pivot that it meets in most blocks.
+    """
     made, free = [], entries
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("size").alias(f"size_{c}"))
     for _ in range(STARS):
         pivots = free.groupBy("shingle", "block").agg(F.min(F.struct("node", "size", "left")).alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        may = _enough(F.least("left", "p.left"), F.col("size"), F.col("p.size"))
-        pairs = _unordered(free.join(pivots, ["shingle", "block"]).where(may).select(F.col("p.node").alias("a"), F.col("node").alias("b")))
+        may = (F.col("node") != F.col("p.node")) & _enough(F.least("left", "p.left"), F.col("size"), F.col("p.size"))
+        met = free.join(pivots, ["shingle", "block"]).where(may).groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+        met = met.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("bits_a"), F.col("bits_b"), F.col("size_a"), F.col("size_b")))
+        pairs = cut_lineage(met.groupBy("b").agg(F.max_by("a", F.struct("_n", "a")).alias("a")).select("a", "b"))
         made.append(_overlaps(pairs, sets))
         release(pairs)
         done = read_cuts(made).where("linked")
@@ -185,12 +214,21 @@ def _stars(entries: DataFrame, sets: DataFrame) -> list:
 
 
 def _represented(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, rep, miss``: the smallest linked pivot of a set, or itself, and the set's shingles that it lacks."""
-    best = links.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("rep"), (F.col("size_b") - F.col("common")).alias("miss"))).alias("_m"))
-    return cut_lineage(nodes.join(best, "node", "left").select("node", F.coalesce("_m.rep", "node").alias("rep"), F.coalesce("_m.miss", F.lit(0)).alias("miss")))
+    """``node, rep, miss, far``: the linked pivot of a set, or itself, the set's shingles that it lacks, and all that they differ in."""
+    miss = F.col("size_b") - F.col("common")
+    best = links.groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct(F.col("a").alias("rep"), miss.alias("miss"), (miss + F.col("size_a") - F.col("common")).alias("far"))).alias("_m"))
+    return nodes.join(best, "node", "left").select(
+        "node", F.coalesce("_m.rep", "node").alias("rep"), F.coalesce("_m.miss", F.lit(0)).alias("miss"), F.coalesce("_m.far", F.lit(0)).alias("far"))
+
+
+def _groups(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, miss, far, least, most, bits``: the bounds of the sets that a representative stands for, written."""
+    of = entries.groupBy("rep").agg(F.max("miss").alias("g_miss"), F.max("far").alias("g_far"), F.min("size").alias("g_least"), F.max("size").alias("g_most"))
+    return cut_lineage(of.join(sets.select(F.col("node").alias("rep"), F.col("bits").alias("g_bits")), "rep"))
 
 
-def _met_representatives(entries: DataFrame) -> DataFrame:
+def _met_representatives(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of representatives of different components that meet in a block their sets do not skip."""
     facts = [F.max("left").alias("left"), F.min("size").alias("size"), F.min("label").alias("label")]
     index = entries.groupBy("shingle", "block", "rep").agg(*facts)
@@ -198,26 +236,36 @@ def _met_representatives(entries: DataFrame) -> DataFrame:
     lists = lists.select("shingle", "block", F.ceil(F.col("_n") / PART).cast("int").alias("deal"), "_low", "_high")
     asks = _probes(entries).groupBy("shingle", "block", "rep").agg(*facts).join(lists, ["shingle", "block"])
     # a list of one component has nothing for that component; a long list is dealt in parts
-    asks = asks.where("NOT (label = _low AND label = _high)").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    asks = asks.select("shingle", "block", "part", F.col("rep").alias("a"), F.col("label").alias("_la"), F.col("left").alias("_left"), F.col("size").alias("_size"))
-    dealt = index.join(lists, ["shingle", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
-    met = asks.join(dealt.select("shingle", "block", "part", F.col("rep").alias("b"), "label", "left", "size"), ["shingle", "block", "part"])
-    return _unordered(met.where((F.col("_la") != F.col("label")) & _enough(F.least("left", "_left"), F.col("size"), F.col("_size"))))
+    asks = asks.where("NOT (label = _low AND label = _high)").join(groups, "rep").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+    asks = asks.select("shingle", "block", "part", F.col("rep").alias("a"), *[F.col(c).alias(f"_{c}") for c in ("label", "left", "size", "g_bits", "g_far", "g_most")])
+    dealt = index.join(lists, ["shingle", "block"]).join(groups, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
+    met = asks.join(dealt.select("shingle", "block", "part", F.col("rep").alias("b"), "label", "left", "size", "g_bits", "g_far", "g_most"), ["shingle", "block", "part"])
+    near = _near(F.col("g_bits"), F.col("_g_bits"), F.col("g_most"), F.col("_g_most"), F.col("g_far") + F.col("_g_far"))
+    return _unordered(met.where((F.col("_label") != F.col("label")) & _enough(F.least("left", "_left"), F.col("size"), F.col("_size")) & near))
 
 
-def _met_sets(entries: DataFrame, answers: DataFrame) -> DataFrame:
+def _met_sets(entries: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets that the answers of their representatives do not settle."""
-    widest = entries.groupBy("rep").agg(F.max("miss").alias("miss"), F.min("size").alias("size"), F.min("label").alias("label"))
-    side = lambda c: widest.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("miss", "size", "label")])
-    open_ = answers.where("NOT linked").select("a", "b", "common").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b AND miss_a + miss_b > 0")
-    open_ = open_.where(_enough(F.col("common") + F.col("miss_a") + F.col("miss_b"), F.col("size_a"), F.col("size_b")))
-    open_ = cut_lineage(open_.select(F.col("a").alias("rep"), F.col("b").alias("_to"), "common").union(open_.select("b", "a", "common")))
-    asks = _probes(entries).join(open_, "rep").select("shingle", "block", F.col("_to").alias("rep"), "common", F.col("node").alias("a"),
-                                                      F.col("left").alias("_left"), F.col("size").alias("_size"), F.col("miss").alias("_miss"))
-    met = asks.join(entries.select("shingle", "block", "rep", F.col("node").alias("b"), "left", "size", "miss"), ["shingle", "block", "rep"])
-    may = F.least(F.least("left", "_left"), F.col("common") + F.col("miss") + F.col("_miss"))
-    pairs = _unordered(met.where(_enough(may, F.col("size"), F.col("_size"))))
-    release(open_)
+    label = entries.groupBy("rep").agg(F.min("label").alias("label"))
+    known = groups.join(label, "rep")
+    side = lambda c: known.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("g_miss", "g_least", "label")])
+    open_ = answers.where("NOT linked").select("a", "b", "common").join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b AND g_miss_a + g_miss_b > 0")
+    open_ = open_.where(_enough(F.col("common") + F.col("g_miss_a") + F.col("g_miss_b"), F.col("g_least_a"), F.col("g_least_b")))
+    open_ = open_.select(F.col("a").alias("rep"), F.col("b").alias("_to"), "common").union(open_.select("b", "a", "common"))
+    to = groups.select(F.col("rep").alias("_to"), *[F.col(c).alias(f"_{c}") for c in ("g_miss", "g_far", "g_least", "g_most", "g_bits")])
+    open_ = cut_lineage(open_.join(to, "_to"))
+    # a set goes on only against representatives that it is near to itself
+    members = entries.select("node", "rep", "size", "miss").distinct().join(sets.select("node", "bits"), "node")
+    may = _enough(F.col("common") + F.col("miss") + F.col("_g_miss"), F.col("size"), F.col("_g_least"))
+    near = _near(F.col("bits"), F.col("_g_bits"), F.col("size"), F.col("_g_most"), F.col("_g_far"))
+    wanted = cut_lineage(members.join(open_, "rep").where(may & near).select("node", "_to", "common", "bits"))
+    asks = _probes(entries.drop("rep")).join(wanted, "node").select(
+        "shingle", "block", F.col("_to").alias("rep"), "common", F.col("node").alias("a"), *[F.col(c).alias(f"_{c}") for c in ("left", "size", "miss", "bits")])
+    held = entries.join(wanted.select(F.col("_to").alias("rep")).distinct(), "rep", "left_semi").join(sets.select("node", "bits"), "node")
+    met = asks.join(held.select("shingle", "block", "rep", F.col("node").alias("b"), "left", "size", "miss", "bits"), ["shingle", "block", "rep"])
+    most = F.least(F.least("left", "_left"), F.col("common") + F.col("miss") + F.col("_miss"))
+    pairs = _unordered(met.where(_enough(most, F.col("size"), F.col("_size")) & _near(F.col("bits"), F.col("_bits"), F.col("size"), F.col("_size"))))
+    release(open_, wanted)
     return pairs
 
 
@@ -229,16 +277,16 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     links = read_cuts(stars).where("linked")
     nodes = lists.select("node").distinct()
     labels = _merged(nodes.withColumn("label", F.col("node")), links)
-    reps = _represented(nodes, links)
-    entries = cut_lineage(lists.join(reps, "node").join(labels, "node"))
-    pairs = _met_representatives(entries)
+    entries = cut_lineage(lists.join(_represented(nodes, links).join(labels, "node"), "node"))
+    groups = _groups(entries, sets)
+    pairs = _met_representatives(entries, groups)
     answers = _overlaps(pairs, sets)
     after = _merged(labels, answers.where("linked"))
     now = cut_lineage(entries.drop("label").join(after, "node"))
-    rest = _met_sets(now, answers)
+    rest = _met_sets(now, groups, answers, sets)
     found = _overlaps(rest, sets)
     out = _merged(after, found.where("linked"))
-    release(sets, lists, *stars, labels, reps, entries, pairs, answers, after, now, rest, found)
+    release(sets, lists, *stars, labels, groups, entries, pairs, answers, after, now, rest, found)
     return out
 
 

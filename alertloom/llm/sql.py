@@ -70,7 +70,80 @@ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32),
        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
 
+# the usual reflected polynomial; acc = (acc >> 8) xor table[(acc xor byte) mod 256], both ends inverted
+CRC = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+# of a text without symbols above U+00FF
+CRC32 = ("xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), "
+         "lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)), "
+         "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+OP11 = rf"""
+WITH RECURSIVE {CRC},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+u AS (SELECT doc_id, {LOWER.replace("coalesce(text, '')", "w")} AS w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT w, n, {CRC32.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM u, crc WHERE length(w) >= 7),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, k, substr(word, 1, k::INT) || substr(word, k::INT + 2) AS s FROM v, LATERAL (SELECT unnest(range(length(word))) AS k)),
+p AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.k = b.k AND a.s = b.s AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.s UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.s),
+b AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
+f AS (SELECT v.word, min(p.near) AS form, min(p.n) AS form_n FROM v JOIN b USING (word) JOIN p ON p.word = v.word AND p.n = b.top AND p.n >= 10 * v.n GROUP BY v.word),
+c AS (SELECT word, word AS root, 0 AS i FROM v UNION ALL SELECT c.word, f.form, i + 1 FROM c JOIN f ON f.word = c.root)
+SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, form, form_n, root FROM v LEFT JOIN b USING (word) LEFT JOIN f USING (word)
+JOIN (SELECT word, arg_max(root, i) AS root FROM c GROUP BY word) USING (word)"""
+
+_VALUE = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_TREE_LEVELS = 20  # 3 ** 20 leaves a source
+
+
+def _leaf_sql(text):
+    return "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name):
+    """Nodes ``name0 (g, i, n, d)`` rise as name1, ...; ``name_path`` has what stands beside each node that is not a root."""
+    rise = [f"""{name}{k + 1} AS (SELECT g, i // 3 AS i, (max(n) + 2) // 3 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d
+FROM {name}{k} GROUP BY g, i // 3)""" for k in range(_TREE_LEVELS)]
+    beside = " UNION ALL ".join(f"""SELECT {k} AS lev, a.g, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') || '|' ||
+coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS e FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.g, a.i"""
+                                for k in range(_TREE_LEVELS))
+    return ",\n".join([*rise, f"{name}_path AS ({beside})"])
+
+
+OP12 = rf"""
+WITH {CRC},
+x AS (SELECT doc_id, coalesce('=' || source, '-') AS g, {_leaf_sql("text")} AS leaf, {_leaf_sql("tampered")} AS found FROM
+      (SELECT *, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents, crc)),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM x),
+s0 AS (SELECT g, i, n, leaf AS d FROM o),
+{_tree_sql("s")},
+u AS (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS n FROM s{_TREE_LEVELS}),
+t0 AS (SELECT '*' AS g, j AS i, n, subroot AS d FROM u),
+{_tree_sql("t")},
+e AS (SELECT o.g, o.i, lev, e FROM o JOIN s_path p ON p.g = o.g AND p.i = o.i // (3 ** lev)::BIGINT
+      UNION ALL SELECT o.g, o.i, 100 + lev, e FROM o JOIN u USING (g) JOIN t_path p ON p.i = u.j // (3 ** lev)::BIGINT),
+l AS (SELECT g, i, list(e ORDER BY lev) AS es FROM e GROUP BY g, i),
+z AS (SELECT doc_id, leaf, subroot, (SELECT d FROM t{_TREE_LEVELS}) AS root, sha256(coalesce(array_to_string(list_transform(es, lambda e: replace(e, '|', '')), ''), '')) AS proof_sha256,
+      list_reduce([found] || coalesce(es, []), lambda a, e: sha256(split_part(e, '|', 1) || a || split_part(e, '|', 2))) AS folded_root
+      FROM o JOIN u USING (g) LEFT JOIN l ON l.g = o.g AND l.i = o.i)
+SELECT *, folded_root = root AS verified FROM z"""
+
+OP13 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
 ORACLE = {
     "op3_warc_dictionary_archive": OP3,
     "op1_minhash_near_dedup": OP1, "op4_pareto_source_mix": OP4, "op6_wu_manber_decontamination": OP6, "op9_line_first_quality": OP9,
+    "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12, "op13_set_relation_join": OP13,
 }
