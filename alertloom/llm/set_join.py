@@ -9,7 +9,8 @@ before which a link must show. The list of a shingle is cut into blocks by set s
 shingles of its set are left from its position on, so it knows the largest partner it can still link with, and
 skips all blocks of the list beyond: deep positions meet only blocks of small sets.
 
-*Answers.* In each block the smallest member is a pivot, and every set is compared with the one it meets most, twice; a
+*Answers.* In each block the set with the most common shingles is a pivot, and every set is compared with the one it
+meets most, twice; copies gather around what they were made from. A
 set linked to a pivot is represented by it, and its misses are its shingles that the pivot lacks. Of the sets of other
 components only representatives meet. What two representatives have in common, plus the misses of two of their
 sets, bounds what those have in common: where that is too little, all pairs of the two groups are answered at once.
@@ -149,20 +150,23 @@ def _block(size: Column) -> Column:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """``shingle, node, size, left, block, deepest``: the entries of all lists, written.
+    """``shingle, node, size, weight, left, block, deepest``: the entries of all lists, written.
+
+    ``weight`` is the mean logarithm of how many sets have a shingle of the set: what copies are made from has more than they.
 
     ``left`` counts the shingles of the set from the entry on that other sets have too. ``deepest`` is the last block
     of smaller or equal sets that the entry may link with; the first is given by its size.
     """
     owned = sets.select("node", "size", F.explode("shingles").alias("shingle"))
     known = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = owned.join(known, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"))
+    ranked = owned.join(known, "shingle").groupBy("node", "size").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"), (F.sum(F.ln("n")) / F.first("size")).alias("weight"))
     needed = F.ceil(F.col("size") * F.lit(PERCENT) / 100).cast("int")
     early = F.slice("_order", F.lit(1), F.greatest(F.size("_order") - needed + 1, F.lit(0)))
-    early = ranked.select("node", "size", F.size("_order").alias("_n"), F.posexplode(early).alias("_at", "_one"))
+    early = ranked.select("node", "size", "weight", F.size("_order").alias("_n"), F.posexplode(early).alias("_at", "_one"))
     left = F.col("_n") - F.col("_at")
     largest = F.least(F.col("size"), F.floor((100 + PERCENT) * left / PERCENT) - F.col("size"))
-    return cut_lineage(early.select(F.col("_one.shingle").alias("shingle"), "node", "size", left.alias("left"), _block(F.col("size")).alias("block"),
+    return cut_lineage(early.select(F.col("_one.shingle").alias("shingle"), "node", "size", F.round("weight", 3).alias("weight"), left.alias("left"), _block(F.col("size")).alias("block"),
                                     _block(F.greatest(largest, F.lit(1))).alias("deepest")))
 
 
@@ -200,9 +204,10 @@ def _stars(entries: DataFrame, sets: DataFrame) -> list:
     made, free = [], entries
     side = lambda c: sets.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("size").alias(f"size_{c}"))
     for _ in range(STARS):
-        pivots = free.groupBy("shingle", "block").agg(F.min(F.struct("node", "size", "left")).alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        pivots = free.groupBy("shingle", "block").agg(F.max(F.struct("weight", "node", "size", "left")).alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         may = (F.col("node") != F.col("p.node")) & _enough(F.least("left", "p.left"), F.col("size"), F.col("p.size"))
-        met = free.join(pivots, ["shingle", "block"]).where(may).groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+        met = free.join(pivots, ["shingle", "block"]).where(may).groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(
+            F.count(F.lit(1)).alias("_n"))
         met = met.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("bits_a"), F.col("bits_b"), F.col("size_a"), F.col("size_b")))
         pairs = cut_lineage(met.groupBy("b").agg(F.max_by("a", F.struct("_n", "a")).alias("a")).select("a", "b"))
         made.append(_overlaps(pairs, sets))
