@@ -10,14 +10,15 @@ shingles of its set are left from its position on, so it knows the largest partn
 skips all blocks of the list beyond: deep positions meet only blocks of small sets.
 
 *Answers.* In each block the set with the most common shingles is a pivot, and every set is compared with the one it
-meets most, twice; copies gather around what they were made from. A
-set linked to a pivot is represented by it, and its misses are its shingles that the pivot lacks. Of the sets of other
+meets most, twice; copies gather around what they were made from. A set
+linked to a pivot is represented by it, and its misses are its shingles that the pivot lacks. Of the sets of other
 components only representatives meet. What two representatives have in common, plus the misses of two of their
 sets, bounds what those have in common: where that is too little, all pairs of the two groups are answered at once.
 The other groups' sets meet in the blocks of the index, each pair under the bound of its own misses, and are
 compared on their full sets. Before any comparison, parities of the shingles in 512 parts bound the difference of two
-sets from below; a representative's bits serve its whole group, less the farthest member's difference. Pairs inside a component are never made. So no link between components stays unseen,
-while a family of copies costs a comparison per copy.
+sets from below; a representative's bits serve its whole group, less the farthest member's difference. Pairs inside a
+component are never made. So no link between components stays unseen, while a family of copies costs a comparison per
+copy.
 
 Defined results: words are maximal runs of non-blank characters with A-Z lower-cased; a text of fewer than
 ``SHINGLE`` words, but not none, is one shingle; texts that are null, empty or blank have an empty set and link with
@@ -178,7 +179,9 @@ def _probes(entries: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, common, linked`` of the pairs ``(a, b)``, on full sets, written."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
+    # only the sets that are asked for are shuffled
+    named = lambda c: sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+    side = lambda c: named(c).select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("_a", "_b")))
     return cut_lineage(both.select("a", "b", "common", _enough(F.col("common"), F.size("_a"), F.size("_b")).alias("linked"),
                                    F.size("_a").alias("size_a"), F.size("_b").alias("size_b")))
@@ -218,6 +221,12 @@ def _stars(entries: DataFrame, sets: DataFrame) -> list:
     return made
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The entries of shingles that sets of several components have."""
+    several = entries.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    return entries.join(several.select("shingle"), "shingle", "left_semi")
+
+
 def _represented(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, rep, miss, far``: the linked pivot of a set, or itself, the set's shingles that it lacks, and all that they differ in."""
     miss = F.col("size_b") - F.col("common")
@@ -282,12 +291,12 @@ def linked_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     links = read_cuts(stars).where("linked")
     nodes = lists.select("node").distinct()
     labels = _merged(nodes.withColumn("label", F.col("node")), links)
-    entries = cut_lineage(lists.join(_represented(nodes, links).join(labels, "node"), "node"))
+    entries = cut_lineage(_mixed(lists.join(_represented(nodes, links).join(labels, "node"), "node")))
     groups = _groups(entries, sets)
     pairs = _met_representatives(entries, groups)
     answers = _overlaps(pairs, sets)
     after = _merged(labels, answers.where("linked"))
-    now = cut_lineage(entries.drop("label").join(after, "node"))
+    now = cut_lineage(_mixed(entries.drop("label").join(after, "node")))
     rest = _met_sets(now, groups, answers, sets)
     found = _overlaps(rest, sets)
     out = _merged(after, found.where("linked"))
