@@ -15,99 +15,111 @@ def volume_log(df: DataFrame, group_cols, threshold=S.BURST_THRESHOLD, bin_secon
             .withColumn("bin_seconds", F.lit(bin_seconds).cast("long")))
 
 
-def _value_counts(rows: DataFrame, keys, columns) -> DataFrame:
-    """(keys, column, value, n): one shuffle for all columns, combined before it.
-    Spreading a bin over its values keeps a flood with millions of addresses off a single task."""
-    entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns])
-    long = rows.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.k", "e.v").where("v IS NOT NULL")
-    return long.groupBy(*keys, "k", "v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _profile(rows: DataFrame, keys, columns) -> DataFrame:
-    """Per key and column: number of distinct values, most frequent value, its count.
-    The smallest value wins a tie."""
-    counts = _value_counts(rows, keys, columns)
-    aggs = []
-    for c in columns:
-        mine = F.col("k") == c
-        best = F.min(F.when(mine, F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))))
-        aggs += [
-            F.count(F.when(mine, F.col("v"))).alias(f"_nd_{c}"),
-            best["v"].alias(f"_mode_{c}"),
-            (-best["neg"]).alias(f"_top_{c}"),
-        ]
-    return counts.groupBy(*keys).agg(*aggs)
-
-
-def aggregate_bursts(df: DataFrame, group_cols, threshold=S.BURST_THRESHOLD, bin_seconds=S.BURST_BIN_SECONDS,
-                     ts_col="timestamp", src_col="src_ip", dst_col="dst_ip", id_col="event_id",
-                     null_cols=(), mode_cols=(), bin_id=None) -> DataFrame:
-    """Groups of at most ``threshold`` rows pass unchanged; larger ones become one row per bin.
+class BurstRules:
+    """How the rows of a large group become one row per time bin.
 
     The bin keeps its dominant source and a ``MULTI`` marker for the destinations, or the
     mirror image when it has fewer destinations than sources. Other columns come from the
     bin's first row. ``null_cols`` are emptied, ``mode_cols`` take their most frequent value,
     ``bin_id(ordinal)`` builds a new id from the bin's position in its group.
+
+    Rows are counted into cells of (bin, column, value), in one shuffle for all voted columns; the cell of no column
+    carries what concerns the bin as a whole. Cells of disjoint rows add up, so a stream can count batch by batch.
+    A flood with millions of addresses in one bin is spread over its values.
     """
-    group_cols = list(group_cols)
-    has_link = "is_campaign_link" in df.columns
-    has_prediction = "predicted_attack_type" in df.columns
 
+    def __init__(self, schema, group_cols, bin_seconds=S.BURST_BIN_SECONDS, ts_col="timestamp", src_col="src_ip",
+                 dst_col="dst_ip", id_col="event_id", null_cols=(), mode_cols=(), bin_id=None):
+        self.schema, self.group_cols, self.bin_seconds = schema, list(group_cols), bin_seconds
+        self.ts_col, self.src_col, self.dst_col, self.id_col = ts_col, src_col, dst_col, id_col
+        self.null_cols, self.mode_cols, self.bin_id = null_cols, mode_cols, bin_id
+        self.columns = schema.fieldNames()
+        self.has_link = "is_campaign_link" in self.columns
+        self.has_campaign = self.has_link and "campaign_id" in self.columns
+        self.has_prediction = "predicted_attack_type" in self.columns
+        self.voted = [src_col, dst_col, *mode_cols] + (["predicted_attack_type"] if self.has_prediction else [])
+        self.keys = [*self.group_cols, "_bin"]
+
+    def cells(self, rows: DataFrame) -> DataFrame:
+        """``(*keys, k, v, n, first, link, campaign)`` of rows of large groups."""
+        order = F.struct(F.col(self.ts_col).alias("ts"), F.col(self.id_col).alias("id"))
+        carried = F.struct(*[F.col(c) for c in self.columns if c not in self.group_cols])
+        link = F.coalesce(F.col("is_campaign_link"), F.lit(False)) if self.has_link else F.lit(False)
+        campaign = F.when(link, F.struct(order.alias("at"), F.col("campaign_id").alias("of"))) if self.has_campaign else F.lit(None).cast("struct<at:int,of:int>")
+        base = F.struct(F.lit("").alias("k"), F.lit(None).cast("string").alias("v"))
+        votes = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))) for c in self.voted]
+        whole = F.col("_e.k") == ""
+        long = rows.select(
+            *self.group_cols, floor_to_bin(F.col(self.ts_col), self.bin_seconds).alias("_bin"), F.struct(order.alias("at"), carried.alias("row")).alias("_f"),
+            link.alias("_l"), campaign.alias("_c"), F.explode(F.array_compact(F.array(base, *votes))).alias("_e"))
+        return self._folded(long.select(*self.keys, "_e.k", "_e.v", F.lit(1).cast("long").alias("n"), F.when(whole, F.col("_f")).alias("first"),
+                                        (whole & F.col("_l")).alias("link"), F.when(whole, F.col("_c")).alias("campaign")))
+
+    def _folded(self, cells: DataFrame) -> DataFrame:
+        return cells.groupBy(*self.keys, "k", "v").agg(
+            F.sum("n").alias("n"), F.min_by("first", "first.at").alias("first"), F.bool_or("link").alias("link"), F.min_by("campaign", "campaign.at").alias("campaign"))
+
+    def merged(self, cells: DataFrame) -> DataFrame:
+        """Cells of all rows from those of several disjoint sets of rows."""
+        return self._folded(cells)
+
+    def bins(self, cells: DataFrame) -> DataFrame:
+        """The bins' rows in the columns of the input, ``event_count`` and the prediction's agreement."""
+        whole = F.col("k") == ""
+        aggs = [F.max(F.when(whole, F.col("n"))).alias("_n"), F.min_by("first", "first.at").alias("_first"),
+                F.bool_or("link").alias("_link"), F.min_by("campaign", "campaign.at").alias("_campaign")]
+        for c in self.voted:
+            mine = F.col("k") == c
+            # the smallest value wins a tie
+            best = F.min(F.when(mine, F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))))
+            aggs += [F.count(F.when(mine, F.col("v"))).alias(f"_nd_{c}"), best["v"].alias(f"_mode_{c}"), (-best["neg"]).alias(f"_top_{c}")]
+        bins = cells.groupBy(*self.keys).agg(*aggs)
+        n_src, n_dst = F.coalesce(f"_nd_{self.src_col}", F.lit(0)), F.coalesce(f"_nd_{self.dst_col}", F.lit(0))
+        fans_out = n_src <= n_dst
+        new = {
+            self.ts_col: F.col("_bin"),
+            self.src_col: F.when(fans_out, F.col(f"_mode_{self.src_col}")).otherwise(multi_marker(n_src)),
+            self.dst_col: F.when(fans_out, multi_marker(n_dst)).otherwise(F.col(f"_mode_{self.dst_col}")),
+            "event_count": F.col("_n"),
+        }
+        if self.has_link:
+            new["is_campaign_link"] = F.col("_link")
+        if self.has_campaign:
+            new["campaign_id"] = F.coalesce("_campaign.of", F.lit(S.NO_CAMPAIGN))
+        if self.has_prediction:
+            new["predicted_attack_type"] = F.col("_mode_predicted_attack_type")
+            new["predicted_attack_type_agreement"] = F.col("_top_predicted_attack_type") / F.col("_n")
+        for c in self.mode_cols:
+            new[c] = F.col(f"_mode_{c}")
+        for c in self.null_cols:
+            new[c] = F.lit(None).cast(self.schema[c].dataType)
+        if self.bin_id is not None:
+            day = F.floor(bin_number(F.col("_bin"), self.bin_seconds) / F.lit(max(1, 86_400 // self.bin_seconds)))
+            bins = number_rows(bins, self.group_cols, day, ["_bin"], "_ord")
+            new[self.id_col] = self.bin_id(F.col("_ord") - 1)
+        extras = [c for c in ("event_count", "predicted_attack_type_agreement") if c in new and c not in self.columns]
+        out = []
+        for c in self.columns + extras:
+            if c in new:
+                out.append(new[c].alias(c))
+            elif c in self.group_cols:
+                out.append(F.col(c))
+            else:
+                out.append(F.col(f"_first.row.{c}").alias(c))
+        return bins.select(*out)
+
+
+def aggregate_bursts(df: DataFrame, group_cols, threshold=S.BURST_THRESHOLD, bin_seconds=S.BURST_BIN_SECONDS,
+                     ts_col="timestamp", src_col="src_ip", dst_col="dst_ip", id_col="event_id",
+                     null_cols=(), mode_cols=(), bin_id=None) -> DataFrame:
+    """Groups of at most ``threshold`` rows pass unchanged; larger ones become one row per bin (see ``BurstRules``)."""
+    rules = BurstRules(df.schema, group_cols, bin_seconds, ts_col, src_col, dst_col, id_col, null_cols, mode_cols, bin_id)
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rows"))
     large = sizes.where(F.col("_rows") > threshold).select(*group_cols, F.lit(True).alias("_large"))
-    tagged = join_on(df, large, group_cols, "left")
+    tagged = join_on(df, large, list(group_cols), "left")
     calm = tagged.where(F.col("_large").isNull()).drop("_large")
-    flood = tagged.where(F.col("_large")).drop("_large").withColumn("_bin", floor_to_bin(F.col(ts_col), bin_seconds))
-
-    keys = group_cols + ["_bin"]
-    order = F.struct(F.col(ts_col), F.col(id_col))
-    carried = [c for c in df.columns if c not in group_cols]
-    first = F.min_by(F.struct(*carried), order)
-    aggs = [first.alias("_first"), F.count(F.lit(1)).alias("_n")]
-    if has_link:
-        aggs.append(F.bool_or("is_campaign_link").alias("_link"))
-        if "campaign_id" in df.columns:
-            aggs.append(F.min_by("campaign_id", F.when(F.col("is_campaign_link"), order)).alias("_campaign"))
-    binned = flood.groupBy(*keys).agg(*aggs)
-
-    voted = [src_col, dst_col, *mode_cols] + (["predicted_attack_type"] if has_prediction else [])
-    bins = join_on(binned, _profile(flood, keys, voted), keys, "left")
-
-    n_src, n_dst = F.coalesce(f"_nd_{src_col}", F.lit(0)), F.coalesce(f"_nd_{dst_col}", F.lit(0))
-    fans_out = n_src <= n_dst
-    new = {
-        ts_col: F.col("_bin"),
-        src_col: F.when(fans_out, F.col(f"_mode_{src_col}")).otherwise(multi_marker(n_src)),
-        dst_col: F.when(fans_out, multi_marker(n_dst)).otherwise(F.col(f"_mode_{dst_col}")),
-        "event_count": F.col("_n"),
-    }
-    if has_link:
-        new["is_campaign_link"] = F.col("_link")
-        if "campaign_id" in df.columns:
-            new["campaign_id"] = F.coalesce("_campaign", F.lit(S.NO_CAMPAIGN))
-    if has_prediction:
-        new["predicted_attack_type"] = F.col("_mode_predicted_attack_type")
-        new["predicted_attack_type_agreement"] = F.col("_top_predicted_attack_type") / F.col("_n")
-    for c in mode_cols:
-        new[c] = F.col(f"_mode_{c}")
-    for c in null_cols:
-        new[c] = F.lit(None).cast(df.schema[c].dataType)
-    if bin_id is not None:
-        day = F.floor(bin_number(F.col("_bin"), bin_seconds) / F.lit(max(1, 86_400 // bin_seconds)))
-        bins = number_rows(bins, group_cols, day, ["_bin"], "_ord")
-        new[id_col] = bin_id(F.col("_ord") - 1)
-
-    extras = [c for c in ("event_count", "predicted_attack_type_agreement")
-              if c in new and c not in df.columns]
-    out = []
-    for c in df.columns + extras:
-        if c in new:
-            out.append(new[c].alias(c))
-        elif c in group_cols:
-            out.append(F.col(c))
-        else:
-            out.append(F.col(f"_first.{c}").alias(c))
-    return fill_burst_defaults(calm.unionByName(bins.select(*out), allowMissingColumns=True))
+    flood = tagged.where(F.col("_large")).drop("_large")
+    return fill_burst_defaults(calm.unionByName(rules.bins(rules.cells(flood)), allowMissingColumns=True))
 
 
 def fill_burst_defaults(df: DataFrame) -> DataFrame:

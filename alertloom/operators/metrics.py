@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import schema as S
 from ..functions.numeric import guarded_ratio, harmonic_mean, pair_count
+from .ranking import join_on
 
 
 def attach_clusters(events: DataFrame, assignment: DataFrame, id_col="event_id", how="inner") -> DataFrame:
@@ -97,10 +98,10 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def dense_confusion(cells: DataFrame) -> DataFrame:
     """Every (true, predicted) cell over the union of labels. Labels are few: for output only."""
     labels = cells.select(F.col("true_label").alias("label")).union(cells.select("predicted_label")).distinct()
-    every = labels.agg(F.collect_set("label").alias("_all")).scalar()
+    every = labels.agg(F.collect_list(F.struct("label")).alias("_all")).scalar()
     grid = labels.select(F.col("label").alias("true_label"), every.alias("_all")).select(
-        "true_label", F.explode("_all").alias("predicted_label"))
-    return grid.join(cells, ["true_label", "predicted_label"], "left").fillna(0, ["n"])
+        "true_label", F.explode("_all.label").alias("predicted_label"))
+    return join_on(grid, cells, ["true_label", "predicted_label"], "left").fillna(0, ["n"])
 
 
 def class_report(cells: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def report_summary(report: DataFrame) -> DataFrame:
 def row_normalized(cells: DataFrame) -> DataFrame:
     """Cell share of its true label; null for a label without true rows."""
     rows = cells.groupBy("true_label").agg(F.sum("n").alias("support"))
-    return cells.join(rows, "true_label").withColumn("share", F.try_divide(F.col("n"), F.col("support")))
+    return join_on(cells, rows, ["true_label"]).withColumn("share", F.try_divide(F.col("n"), F.col("support")))
 
 
 def recall_audit(cells: DataFrame, min_recall=S.AUDIT_RECALL, min_support=S.AUDIT_SUPPORT) -> DataFrame:
@@ -148,9 +149,9 @@ def near_perfect(report: DataFrame, min_f1=S.NEAR_PERFECT_F1, low_power=S.LOW_PO
 
 def class_support(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Train and test rows per label, 0 where a side has none."""
-    left = train.groupBy(label).agg(F.count(F.lit(1)).alias("train_n"))
-    right = test.groupBy(label).agg(F.count(F.lit(1)).alias("test_n"))
-    return left.join(right, label, "full_outer").fillna(0, ["train_n", "test_n"])
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = train.select(label, one.alias("train_n"), none.alias("test_n")).unionByName(test.select(label, none.alias("train_n"), one.alias("test_n")))
+    return sides.groupBy(label).agg(F.sum("train_n").alias("train_n"), F.sum("test_n").alias("test_n"))
 
 
 def headline(report: DataFrame, classes=S.HEADLINE_CLASSES, low_power=S.LOW_POWER_SUPPORT) -> DataFrame:

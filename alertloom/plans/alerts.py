@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    ev = table(spark, sf_dir, "events").withColumn("k", k)
+    return alert_view(table(spark, sf_dir, "events"))
+
+
+def alert_view(events: DataFrame) -> DataFrame:
+    """The events table, read or streamed, as unified events."""
+    ev = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     predicted = F.when(F.col("event_id") % 7 == 0, "view").otherwise(F.col("event_type"))
     label = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     return ev.select(

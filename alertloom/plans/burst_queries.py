@@ -71,11 +71,16 @@ def burst_aggregate(spark, sf_dir):
     return aggregate_bursts(_shipments(spark, sf_dir), ["l_returnflag", "l_linestatus"], bin_seconds=86_400)
 
 
-@query(burst_sql("alerts", ["attack_type"], 200, "date_trunc('hour', timestamp)", "src_ip", "dst_ip", "timestamp", "event_id",
-                 link=True, prediction=True, extra_first=["service", "dst_port"], with_clause=ALERTS_SQL + ", "))
+SCORED_COLUMNS = ["attack_type", "event_id", "timestamp", "src_ip", "dst_ip", "is_campaign_link", "campaign_id",
+                  "predicted_attack_type", "service", "dst_port"]
+BURSTS_SCORED_SQL = burst_sql(
+    "alerts", ["attack_type"], 200, "date_trunc('hour', timestamp)", "src_ip", "dst_ip", "timestamp", "event_id",
+    link=True, prediction=True, extra_first=["service", "dst_port"], with_clause=ALERTS_SQL + ", ")
+
+
+@query(BURSTS_SCORED_SQL)
 def burst_aggregate_scored(spark, sf_dir):
-    rows = alerts(spark, sf_dir).select("attack_type", "event_id", "timestamp", "src_ip", "dst_ip", "is_campaign_link",
-                                        "campaign_id", "predicted_attack_type", "service", "dst_port")
+    rows = alerts(spark, sf_dir).select(*SCORED_COLUMNS)
     out = aggregate_bursts(rows, ["attack_type"], bin_seconds=3600)
     return out.withColumn("predicted_attack_type_agreement", F.round("predicted_attack_type_agreement", 9))
 

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from . import (  # noqa: F401
-    burst_queries, campaign_queries, check_queries, correlation_queries, model_queries, normalize_queries, pair_queries,
+    burst_queries, campaign_queries, check_queries, correlation_queries, feed_queries, model_queries, normalize_queries, pair_queries,
     report_queries, stream_queries,
 )
 from .registry import ORACLE, QUERIES

@@ -42,9 +42,17 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def write_events(df: DataFrame, path: str, mode="overwrite") -> None:
-    """Events by source; the skewed campaign column is no partition column."""
-    df.write.mode(mode).partitionBy("source_dataset").parquet(path)
+def write_events(df: DataFrame, path: str, rows_per_file=1_000_000, id_col="event_id") -> None:
+    """Events by source, repeatably: the sources that ``df`` holds replace what was there, others stay.
+
+    Rows are dealt by ranges of (source, digest of the id), so a source that holds most rows fills many files and
+    all files but the last of a source are about equally large; the skewed campaign column is no partition column.
+    Writing the same events again gives the same rows.
+    """
+    n = df.count()
+    files = max(1, -(-n // rows_per_file))
+    dealt = df.repartitionByRange(files, F.col("source_dataset"), F.xxhash64(id_col)) if files > 1 else df.coalesce(1)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_dataset").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode="overwrite") -> None:

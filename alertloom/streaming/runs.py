@@ -18,6 +18,17 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=
     return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def stream_in_parts(spark: SparkSession, sf_dir: str, name: str, ts_col: str, folder: str, parts=4) -> DataFrame:
+    """A table as a stream of several files in the order of ``ts_col``, one a trigger, as if they arrived one by one."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    bounds = [b for b in rows.select(F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)]
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    part = sum([F.coalesce((at > F.lit(b)).cast("int"), F.lit(0)) for b in bounds], F.lit(0))
+    for i in range(parts):
+        rows.where(part == i).write.mode("append").parquet(f"{folder}/{name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+
+
 def burst_counts(events: DataFrame, group_cols, bin_seconds=S.BURST_BIN_SECONDS, late="10 minutes",
                  ts_col="timestamp") -> DataFrame:
     """Rows per group and fixed time bin, bins of a single row too; rows later than the watermark are dropped."""
