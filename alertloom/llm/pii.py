@@ -3,7 +3,8 @@
 One scan finds the spans of the fixed formats and every identifier-like token with the lexical patterns it
 stands in (the word or two words before it, the words around it, the beginning of its own token). Spark then
 scores the graph of patterns and instances in rounds: known instances give a pattern its confidence, patterns
-over a threshold give their other instances a score, and good instances are known in the next round. Spans of
+over a threshold give their other instances a score, and good instances are known in the next round, until a round
+finds none. Spans of
 instances under a promoted pattern join the fixed ones, which always stay.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans. Rows are told
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from alertloom.session import cut_lineage, release
 
 BASE = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 3, 3, 0.6, 0.75
-MIN_LENGTH, MAX_PATTERN = 8, 60
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_INSTANCE = 3, 0.6, 0.75
+MIN_LENGTH, LONG_WORD = 8, 60
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a match cannot start inside a run of digits that it could also start before
@@ -81,7 +82,8 @@ def written(spans):
 
 
 def _word(text):
-    return _DIGIT.sub("0", text.lower())[:MAX_PATTERN]
+    word = _DIGIT.sub("0", text.lower())
+    return word if len(word) <= LONG_WORD else "#" + hashlib.sha1(word.encode()).hexdigest()
 
 
 def occurrences(text, spans):
@@ -140,12 +142,14 @@ def _scan(stream):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text_key"), *arrays], schema=_SCAN)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, kind, confidence`` of promoted patterns from ``edges (pattern, instance, kind)``; null kinds are unknown."""
+def bootstrap(edges: DataFrame) -> DataFrame:
+    """``pattern, kind, confidence`` of promoted patterns from ``edges (pattern, instance, kind)``; null kinds are unknown.
+
+    Rounds go on until one finds no new instance. What is known stays known, so they end.
+    """
     edges = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
-    known = edges.where("seed is not null").select("instance", F.col("seed").alias("kind")).distinct()
-    good = None
-    for _ in range(rounds):
+    known = cut_lineage(edges.where("seed is not null").groupBy("instance").agg(F.max("seed").alias("kind")))
+    while True:
         marked = edges.join(known, "instance", "left")
         counts = marked.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
         total = counts.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("top"))
@@ -153,10 +157,14 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         promoted = total.where((F.col("top.n") >= MIN_SUPPORT) & (confidence >= MIN_CONFIDENCE))
         good = cut_lineage(promoted.select("pattern", F.col("top.kind").alias("kind"), confidence.alias("confidence")))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
-        fresh = edges.where("seed is null").join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= MIN_INSTANCE)
-        best = fresh.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("_b")).select("instance", F.col("_b.kind").alias("kind"))
-        known = cut_lineage(edges.where("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().union(best))
-    return good
+        open_ = edges.join(known.select("instance"), "instance", "left_anti")
+        fresh = open_.join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= MIN_INSTANCE)
+        best = cut_lineage(fresh.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("_b")).select("instance", F.col("_b.kind").alias("kind")))
+        if best.isEmpty():
+            release(edges, known, best)
+            return good
+        old, known = known, cut_lineage(known.unionByName(best))
+        release(old, best, good)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "licensed under", "released under",
     "copyright", "cookie", "javascript", "sign in", "log in", "subscribe", "click here", "read more", "skip to content",
 )
-BOILERPLATE_BYTES = 200
+BOILERPLATE_SHARE = 20  # one word in so many inside a phrase is too much
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MAX_LOST = 0.65
 
@@ -73,7 +73,7 @@ def repeated_words(tokens: Column, size: int = 5) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that is navigation, symbols, shouting, unpunctuated running words or boilerplate."""
+    """True for a line that is navigation, symbols, shouting, unpunctuated running words or boilerplate, at any length."""
     n = count_of(line, " ") + 1
     bars = count_of(line, "|>»•·")
     navigation = (bars >= 2) & (bars * 5 >= n)
@@ -81,8 +81,9 @@ def line_fails(line: Column) -> Column:
     shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= 3)
     unpunctuated = ~line.rlike("[.,;:!?…]") & (n >= 12)
     low = F.lower(line)
-    said = [low.contains(x) for x in BOILERPLATE]
-    boilerplate = (F.octet_length(line) <= BOILERPLATE_BYTES) & reduce(lambda x, y: x | y, said)
+    said = reduce(lambda x, y: x | y, [low.contains(x) for x in BOILERPLATE])
+    inside = sum([(F.octet_length(low) - F.octet_length(F.replace(low, F.lit(x), F.lit("")))) / len(x) * (x.count(" ") + 1) for x in BOILERPLATE], F.lit(0))
+    boilerplate = F.when(said, inside * BOILERPLATE_SHARE >= n).otherwise(False)
     return navigation | symbols | shouting | unpunctuated | boilerplate
 
 

@@ -45,14 +45,17 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 _COUNT = "len({0}) - len(translate({0}, '{1}', ''))"
+BOILERPLATE = ("all rights reserved|privacy policy|terms of use|terms of service|licensed under|released under|copyright|cookie|javascript|"
+               "sign in|log in|subscribe|click here|read more|skip to content").split("|")
+_SAID = " + ".join(f"(strlen(low) - strlen(replace(low, '{x}', ''))) / {len(x)} * {x.count(' ') + 1}" for x in BOILERPLATE)
 OP9 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(x, chr(10)) AS ls FROM d), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
-f AS (SELECT *, {_COUNT.format('line', ' ')} + 1 AS n, {_COUNT.format('line', '|>»•·')} AS bars FROM l),
+f AS (SELECT *, lower(line) AS low, {_COUNT.format('line', ' ')} + 1 AS n, {_COUNT.format('line', '|>»•·')} AS bars FROM l),
 j AS (SELECT *, (bars >= 2 AND bars * 5 >= n) OR ({_COUNT.format('line', '#*$%&|<>{}[]=~^') } + len(line) - len(replace(line, '\', ''))) * 4 > n + 4
       OR (NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}') AND n >= 3)
       OR (NOT regexp_matches(line, '[.,;:!?…]') AND n >= 12)
-      OR (strlen(line) <= 200 AND regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of use|terms of service|licensed under|released under|copyright|cookie|javascript|sign in|log in|subscribe|click here|read more|skip to content')) AS fails FROM f),
+      OR (regexp_matches(low, '{'|'.join(BOILERPLATE)}') AND ({_SAID}) * 20 >= n) AS fails FROM f),
 k AS (SELECT doc_id, sum(CASE WHEN fails THEN 0 ELSE len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) END) AS rest,
       count(*) FILTER (WHERE regexp_matches(line, {WORDS})) - count(DISTINCT line) FILTER (WHERE regexp_matches(line, {WORDS})) AS dup FROM j GROUP BY doc_id),
 g AS (SELECT doc_id, i, w[i:i + 4] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),

@@ -374,3 +374,31 @@ def test_near_copies_without_ids_leave_one_row(table):
     assert len([x for i, x in left if x and x.startswith("w0")]) == 1
     assert [i for i, x in left if x and x.startswith("v0")] == [7]
     assert len(left) == 5
+
+
+def test_boilerplate_is_judged_at_any_length(table):
+    notice = "Please note that all rights reserved here, see our privacy policy and the terms of use, thanks. "
+    prose = "The committee read the report on the harbour, asked for a copy, and put off the vote until spring. "
+    lines = [notice, notice * 3, notice * 40, prose * 10, prose * 10 + "A cookie was served."]
+    got = quality.clean_lines(table([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["cleaned"] == "" for r in got} == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_bootstrapping_goes_on_while_it_finds_something(table):
+    """Keys known by their form lead over five hops; each has two contexts with five known keys and three new ones."""
+    hops, texts = 5, []
+    key = lambda hop, i: hashlib.sha1(f"{hop}-{i}".encode()).hexdigest()[:32] if hop == 0 else f"Zq{hop}x{i}-{hop * 7919 + i}"
+    for hop in range(hops):
+        for side in range(2):
+            shown = [key(hop, i) for i in range(5)] + [key(hop + 1, 3 * side + i) for i in range(3)]
+            texts += [f"context{hop}word{'ab'[side]}: {k} follows{hop}" for k in shown]
+    found = pii.find_personal_data(table(list(enumerate(texts)), "doc_id long, text string")).collect()
+    last = [r for r in found if f"context{hops - 1}word" in texts[r["doc_id"]]]
+    assert last and all(len(r["extra"]) == 1 for r in last)
+
+
+def test_long_context_words_are_told_apart(table):
+    same = "q" * 60
+    rows = [f"{same}x {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(6)] + [f"{same}y part-number-77"]
+    got = {r["doc_id"]: r["extra"] for r in pii.find_personal_data(table(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[6] == [] and all(len(got[i]) == 1 for i in range(6))
