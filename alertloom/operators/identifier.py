@@ -2,7 +2,7 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
@@ -78,9 +78,16 @@ def evaluate(model: PipelineModel, test: DataFrame, label="label") -> DataFrame:
     return M.class_report(M.confusion(scored, label, PREDICTED))
 
 
-def column_ablation(train: DataFrame, test: DataFrame, features, suspects, label="label", categorical=(), **options) -> DataFrame:
-    """Train with and without the suspect columns on the same split and compare the summaries."""
-    full = train_identifier(train, test, features, label, categorical, **options)
+def category_codes(model: PipelineModel) -> DataFrame:
+    """(category, value, code) of the coded columns; as many rows as the columns have values."""
+    rows = [(c.getInputCol(), v, i) for c in model.stages if isinstance(c, StringIndexerModel) for i, v in enumerate(c.labels)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "category string, value string, code int")
+
+
+def column_ablation(train: DataFrame, test: DataFrame, features, suspects, label="label", categorical=(), full: PipelineModel = None,
+                    **options) -> DataFrame:
+    """Train without the suspect columns on the same split and compare with ``full``, which is trained too if not given."""
+    full = full or train_identifier(train, test, features, label, categorical, **options)
     kept = [c for c in features if c not in suspects]
     reduced = train_identifier(train, test, kept, label, [c for c in categorical if c in kept], **options)
     return M.ablation(M.report_summary(evaluate(full, test, label)), M.report_summary(evaluate(reduced, test, label)))

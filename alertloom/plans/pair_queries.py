@@ -103,14 +103,17 @@ def episode_pools(spark, sf_dir):
     return P.episode_pool(alerts(spark, sf_dir)).select("pool_id", "event_id", "campaign_id", "is_true")
 
 
-@query(f"""WITH {ALERTS_SQL}, {SPANS_SQL},
+HELD_OUT_SQL = f"""WITH {ALERTS_SQL}, {SPANS_SQL},
 val AS (SELECT campaign_id FROM (SELECT campaign_id, row_number() OVER (ORDER BY md5('42|' || campaign_id), campaign_id) AS r, count(*) OVER () AS n
   FROM (SELECT DISTINCT campaign_id FROM alerts WHERE campaign_id <> 'NONE')) WHERE r <= greatest(1, round_even(n * 0.3::DOUBLE, 0))),
 pool AS (SELECT pool_id, timestamp, event_id, true AS is_true, first_ts, first_id FROM alerts JOIN spans ON campaign_id = pool_id
   UNION ALL SELECT pool_id, timestamp, event_id, false, first_ts, first_id FROM alerts JOIN spans ON day = first_day
-    AND timestamp BETWEEN first_ts AND last_ts + INTERVAL 30 MINUTE WHERE campaign_id = 'NONE')
-SELECT pool_id AS campaign_id, count(*) AS n_steps, count(*) FILTER (WHERE is_true) AS n_true FROM pool
-WHERE pool_id IN (SELECT campaign_id FROM val) AND (timestamp > first_ts OR timestamp = first_ts AND event_id > first_id) GROUP BY 1""")
+    AND timestamp BETWEEN first_ts AND last_ts + INTERVAL 30 MINUTE WHERE campaign_id = 'NONE'),
+h AS (SELECT pool_id AS campaign_id, count(*) AS n_steps, count(*) FILTER (WHERE is_true) AS n_true FROM pool
+WHERE pool_id IN (SELECT campaign_id FROM val) AND (timestamp > first_ts OR timestamp = first_ts AND event_id > first_id) GROUP BY 1)"""
+
+
+@query(f"{HELD_OUT_SQL} SELECT * FROM h")
 def held_out_pairs(spark, sf_dir):
     """What a link decision is validated on: every step of the held-out campaigns, none sampled."""
     events = alerts(spark, sf_dir)
