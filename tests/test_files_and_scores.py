@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.temporal import TILE_SECONDS, cover, tiles_of
 from alertloom.functions.trees import forest_decision, forest_probability
-from alertloom.operators import checks, linker, metrics, sampling
+from alertloom.operators import checks, history, linker, metrics, sampling
 from alertloom.plans import evaluation
 from alertloom.plans.alerts import alerts
 from alertloom.sources import flows, tables
@@ -108,6 +108,30 @@ def test_compiled_forest_votes_like_the_model(spark, sf_dir):
     assert votes.n_pairs == held_out.count() > 0 and votes.n_differ == 0 and votes.n_far == 0
 
 
+def test_history_is_made_written_and_read(spark, sf_dir, tmp_path):
+    events = alerts(spark, sf_dir)
+    split = sampling.campaign_split(events)
+    tables.write_csv(split, str(tmp_path / "split.csv"))
+    tables.write_table(split, str(tmp_path / "split"))
+    again = tables.read_split(spark, str(tmp_path / "split.csv"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, tables.read_split(spark, str(tmp_path / "split")).collect()))
+    made = linker.training_history(events, again, (1, 3, 9))
+    tables.write_table(made, str(tmp_path / "history"))
+    per = spark.read.parquet(str(tmp_path / "history")).groupBy("checkpoint").agg(F.avg("f1").alias("f1"), F.sum("total_reward").alias("reward"))
+    whole = history.drop_missing(per.unionByName(spark.createDataFrame([(99, None, 0.0)], per.schema)), "f1")
+    r = history.thirds(whole, "f1", "reward", "checkpoint").first()
+    by = {x.checkpoint: x for x in whole.collect()}
+    assert set(by) == {1, 3, 9} and (r.first_mean, r.last_reward) == (by[1].f1, by[9].reward)
+
+
+def test_score_decision_prefers_no_link_in_a_tie(spark):
+    from alertloom.functions.pairs import score_decision
+
+    decide = score_decision(lambda a, c: a["v"], lambda a, c: c["v"])
+    df = spark.createDataFrame([(1, 1), (2, 1), (1, 2)], "x int, y int").select(F.struct(F.col("x").alias("v")).alias("a"), F.struct(F.col("y").alias("v")).alias("c"))
+    assert [r.d for r in df.select(decide(F.col("a"), F.col("c")).alias("d")).collect()] == [False, True, False]
+
+
 def test_tree_expressions(spark):
     trees = [("time_delta_norm", 0.5, 0.25, ("same_service", 0.5, 0.5, 1.0)), 0.75]
     df = spark.createDataFrame([(0.5, 1.0), (0.6, 0.0), (0.6, 1.0)], "time_delta_norm double, same_service double")
