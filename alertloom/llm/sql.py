@@ -25,10 +25,16 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
 t AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN cap ELSE
       least(cap, w * (SELECT arg_min(level, cap / w) FROM l WHERE cap / w > level)) END AS target FROM l),
 x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-y AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest, ratio - floor(ratio) AS pi FROM x),
-z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u), doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y)
+y AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest, floor(sqrt(size))::BIGINT + 1 AS w FROM x),
+b AS (SELECT source, w, sum(size)::DOUBLE AS s, max(rest) AS rest FROM y GROUP BY source, w),
+g AS (SELECT source, w, coalesce((rest - coalesce(sum(s) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(sum(s * w) OVER (PARTITION BY source ORDER BY w ROWS UNBOUNDED PRECEDING), 0), 0) AS c FROM b),
+i AS (SELECT source, arg_max(c, w) AS c, max(w) AS top FROM g WHERE c * w < 1 GROUP BY source),
+o AS (SELECT y.*, CASE WHEN w > top THEN -1 WHEN c > 0 THEN u / (1 - u) / (c * w / (1 - c * w)) ELSE u / (1 - u) END AS place
+      FROM y LEFT JOIN i ON y.source IS NOT DISTINCT FROM i.source),
+z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN pi > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM z"""
+       (size * (whole + CASE WHEN rest > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM z"""
 
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP6 = rf"""
