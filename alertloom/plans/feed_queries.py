@@ -5,9 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import checks
-from ..session import delete_on_exit, shared_dir
+from .. import schema as S
+from ..session import _file_system, delete_on_exit, shared_dir
 from ..sources import flows, tables
+from . import session_feed
 from .alerts import ALERTS_SQL, alerts
+from .burst_queries import burst_sql
+from .normalize_queries import LINES_SQL, PARSED_SQL, session_lines
 from .registry import query
 
 FLOW_COLUMNS = ["flow_id", "timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "label"]
@@ -77,3 +81,46 @@ def events_written_twice(spark, sf_dir):
     tables.write_events(events.where("source_dataset = 'events_w1'"), path, 500)
     return tables.read_events(spark, path).groupBy("source_dataset").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def _captures(spark, sf_dir):
+    """The session lines of the events as capture files, one per scenario, directory and phase."""
+    folder = _folder(spark, "captures")
+    lines = session_lines(spark, sf_dir).repartition("scenario", "vantage", "phase")
+    lines.write.partitionBy("scenario", "vantage", "phase").text(f"{folder}/parts")
+    fs, parts = _file_system(spark, f"{folder}/parts/*/*/*/part-*")
+    directory = {v: k for k, v in S.VANTAGE_DIRS.items()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for file in fs.globStatus(parts):
+        scenario, vantage, phase = [x.split("=")[1] for x in file.getPath().getParent().toString().split("/")[-3:]]
+        target = path(f"{folder}/root/{scenario}/data_and_labeling/{directory[vantage]}/phase-{phase}.list")
+        fs.mkdirs(target.getParent())
+        fs.rename(file.getPath(), target)
+    return f"{folder}/root"
+
+
+LABELLED_SQL = f"""{LINES_SQL}, parsed AS ({PARSED_SQL}),
+inner_hosts AS (SELECT DISTINCT scenario, unnest([src_ip, dst_ip]) AS host FROM parsed WHERE phase = 4),
+internal AS (SELECT * FROM inner_hosts WHERE starts_with(host, '172.16.')),
+labelled AS (SELECT *, CASE WHEN is_campaign_link THEN scenario ELSE 'NONE' END AS campaign_id FROM (SELECT *, phase IN (4, 5) OR
+  (scenario, src_ip) IN (SELECT (scenario, host) FROM internal) OR (scenario, dst_ip) IN (SELECT (scenario, host) FROM internal) AS is_campaign_link FROM parsed)), """
+
+
+@query(burst_sql("labelled", ["scenario", "vantage", "phase"], 200, "date_trunc('second', timestamp)", "src_ip", "dst_ip", "timestamp", "event_id",
+                 link=True, modes=["service"], extra_first=["tier", "source_dataset", "kill_chain_stage", "attack_type"], with_clause=LABELLED_SQL,
+                 bin_id="b.scenario || '_' || b.vantage || '_p' || b.phase || '_agg_' || "
+                        "(row_number() OVER (PARTITION BY b.scenario, b.vantage, b.phase ORDER BY b.bin) - 1)"))
+def session_feed_events(spark, sf_dir):
+    """Capture files to unified events: scan, parse, label by hosts, collapse."""
+    return session_feed.session_events(spark, _captures(spark, sf_dir)).drop("src_port", "dst_port")
+
+
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'LLS_DDOS_1.0' ELSE 'LLS_DDOS_2.0.2' END AS scenario,
+  CASE WHEN user_id % 2 = 0 THEN 'tcpdump_inside' ELSE 'tcpdump_dmz' END AS vantage, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 1 AS phase FROM events),
+d AS (SELECT scenario, v AS vantage FROM (SELECT DISTINCT scenario FROM c), (SELECT unnest(['tcpdump_inside', 'tcpdump_dmz']) AS v))
+SELECT scenario, vantage, CAST(NULL AS INTEGER) AS phase, 'directory missing' AS problem FROM d WHERE (scenario, vantage) NOT IN (SELECT (scenario, vantage) FROM c)
+UNION ALL SELECT scenario, vantage, NULL, 'fewer than 2 phases' FROM c GROUP BY 1, 2 HAVING count(*) < 2
+UNION ALL SELECT scenario, vantage, phase, unnest(['dump is empty', 'truth is missing']) FROM c""")
+def capture_inventory(spark, sf_dir):
+    """Problems of those captures, from the file system: half the directories, all dumps and all truth files are missing."""
+    return session_feed.capture_problems(spark, _captures(spark, sf_dir))

@@ -29,7 +29,7 @@ def unified_events(spark, sf_dir):
         text.scenario_source(F.concat(F.lit("LLS_DDOS_"), F.col("vantage")), "").alias("short_source"))
 
 
-def _session_lines(spark, sf_dir):
+def session_lines(spark, sf_dir):
     """Events written as session lines, with every eleventh one spoilt."""
     ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     pad = lambda c: F.lpad(c.cast("string"), 3, "0")
@@ -52,9 +52,7 @@ lines AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
   CASE WHEN user_id % 2 = 0 THEN 'inside' ELSE 'dmz' END AS vantage FROM events)"""
 
 
-@query(f"""
-WITH {LINES_SQL}
-SELECT scenario || '_' || vantage || '_p' || (k % 5 + 1) || '_' || event_id AS event_id,
+PARSED_SQL = """SELECT scenario || '_' || vantage || '_p' || (k % 5 + 1) || '_' || event_id AS event_id,
   date_trunc('second', ts) AS timestamp, '172.16.' || (user_id % 256) || '.' || k AS src_ip,
   '202.77.' || k || '.' || (user_id % 256) AS dst_ip, CAST(NULL AS DOUBLE) AS src_port,
   CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(k AS DOUBLE) END AS dst_port, 'svc' || (k % 5) AS service,
@@ -62,9 +60,12 @@ SELECT scenario || '_' || vantage || '_p' || (k % 5 + 1) || '_' || event_id AS e
   scenario, k % 5 + 1 AS phase,
   CASE k % 5 WHEN 2 THEN 'exploit' WHEN 3 THEN 'install' WHEN 4 THEN 'action' ELSE 'recon' END AS kill_chain_stage,
   CASE k % 5 WHEN 2 THEN 'exploit' WHEN 3 THEN 'backdoor_install' WHEN 4 THEN 'ddos' ELSE 'recon' END AS attack_type
-FROM lines WHERE event_id % 11 <> 0""")
+FROM lines WHERE event_id % 11 <> 0"""
+
+
+@query(f"WITH {LINES_SQL} {PARSED_SQL}")
 def parse_session_lines(spark, sf_dir):
-    return tag_phase(parse_lines(_session_lines(spark, sf_dir)))
+    return tag_phase(parse_lines(session_lines(spark, sf_dir)))
 
 
 @query(f"""
@@ -72,7 +73,7 @@ WITH {LINES_SQL}
 SELECT scenario, vantage, k % 5 + 1 AS phase, count(*) FILTER (WHERE event_id % 11 = 0) AS n_rejected, count(*) AS n_lines
 FROM lines GROUP BY ALL""")
 def rejected_session_lines(spark, sf_dir):
-    return rejected_lines(_session_lines(spark, sf_dir))
+    return rejected_lines(session_lines(spark, sf_dir))
 
 
 @query("""
