@@ -29,7 +29,7 @@ gives an empty result. Extra columns are not read. Shingles are compared by a 64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from alertloom.llm import hashing as H
 from alertloom.llm.components import components
@@ -127,15 +127,23 @@ def _near(a: Column, b: Column, size: Column, other: Column, slack=0) -> Column:
 
 
 def _open_classes(sketched: DataFrame) -> DataFrame:
-    """``node, any_id, any_key`` of the classes that the sampled shingles leave open: one text of each."""
-    sampled = sketched.where("node IS NOT NULL").select("node", F.explode("sample").alias("shingle"))
-    # a shingle is of one class if all its rows name the same one; copies of a text repeat it
-    alone = sampled.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("_high")).where("node = _high")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
-    classes = sketched.where("node IS NOT NULL").groupBy("node").agg(
+    """``node, any_id, any_key`` of the classes that the sampled shingles leave open: one text of each, written.
+
+    The sample is counted twice: first over all classes, then over those still open, which share less.
+    """
+    found = sketched.where("node IS NOT NULL").groupBy("node").agg(
         F.min_by(F.struct("doc_id", "_text_key"), F.col("_text_key")).alias("_any"), F.max("n_shingles").alias("size"))
-    left = classes.join(alone, "node", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(_linkable("size", "_alone"))
-    return left.select("node", F.col("_any.doc_id").alias("any_id"), F.col("_any._text_key").alias("any_key"))
+    open_ = found.select("node", "size", F.col("_any.doc_id").alias("any_id"), F.col("_any._text_key").alias("any_key"))
+    samples = sketched.where("node IS NOT NULL")
+    for _ in range(2):
+        # a shingle is of one class if all its rows name the same one; copies of a text repeat it
+        alone = samples.select("node", F.explode("sample").alias("shingle")).groupBy("shingle").agg(
+            F.min("node").alias("node"), F.max("node").alias("_high")).where("node = _high")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
+        left = open_.join(alone, "node", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(_linkable("size", "_alone"))
+        open_ = cut_lineage(left.drop("_alone"))
+        samples = sketched.join(open_.select("node"), "node", "left_semi")
+    return open_.drop("size")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -158,10 +166,11 @@ def _index(sets: DataFrame) -> DataFrame:
     ``left`` counts the shingles of the set from the entry on that other sets have too. ``deepest`` is the last block
     of smaller or equal sets that the entry may link with; the first is given by its size.
     """
-    owned = sets.select("node", "size", F.explode("shingles").alias("shingle"))
-    known = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = owned.join(known, "shingle").groupBy("node", "size").agg(
-        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"), (F.sum(F.ln("n")) / F.first("size")).alias("weight"))
+    owned = sets.select("node", F.explode("shingles").alias("shingle"))
+    # one shuffle of two numbers a shingle; the sets of a shingle pass through one task, unread beyond their count
+    known = owned.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("shingle"))).where("n > 1")
+    ranked = known.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_order"), F.sum(F.ln("n")).alias("_log"))
+    ranked = ranked.join(sets.select("node", "size"), "node").withColumn("weight", F.col("_log") / F.col("size"))
     needed = F.ceil(F.col("size") * F.lit(PERCENT) / 100).cast("int")
     early = F.slice("_order", F.lit(1), F.greatest(F.size("_order") - needed + 1, F.lit(0)))
     early = ranked.select("node", "size", "weight", F.size("_order").alias("_n"), F.posexplode(early).alias("_at", "_one"))
@@ -285,7 +294,7 @@ def _met_sets(entries: DataFrame, groups: DataFrame, answers: DataFrame, sets: D
 
 def linked_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``node, label``: a component label for every class that the counts of shingles leave open."""
-    sets = cut_lineage(_sets_of(docs, cut_lineage(_open_classes(sketched))))
+    sets = cut_lineage(_sets_of(docs, _open_classes(sketched)))
     lists = _index(sets)
     stars = _stars(lists, sets)
     links = read_cuts(stars).where("linked")
