@@ -29,6 +29,7 @@ gives an empty result. Extra columns are not read. Shingles are compared by a 64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from alertloom.llm import hashing as H
@@ -36,6 +37,7 @@ from alertloom.llm.components import components
 from alertloom.session import cut_lineage, read_cuts, release
 
 SHINGLE, PERCENT, SAMPLE, STARS, PART, WORDS = 4, 85, 4, 2, 1024, 8
+FILTER_BITS = 1 << 24
 _SPACE = H.space_table()
 _MULTIPLY = H.seeds(SHINGLE, 12)
 _LENGTH = H.seeds(SHINGLE + 1, 16)
@@ -98,13 +100,33 @@ def _parities(values, offsets):
     return _list_array(flat, np.arange(0, len(flat) + 1, WORDS))
 
 
-def _full(stream):
-    for whole in stream:
-        for batch in H.batches(whole):
-            values, offsets = shingle_sets(batch.column("text"))  # none is empty
-            sizes = pa.array(np.diff(offsets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, _parities(values, offsets), _list_array(values, offsets)],
-                                             ["node", "size", "bits", "shingles"])
+def _places(doc_id, text_key):
+    """Bit of a row in the filter of wanted texts."""
+    ids = pc.fill_null(doc_id, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(H.U64)
+    keys = text_key.to_numpy(zero_copy_only=False).astype(np.int64).view(H.U64)
+    return (H.mix(ids * _SET[0] + keys) % H.U64(FILTER_BITS)).astype(np.int64)
+
+
+def _full(wanted):
+    """The sets of the rows that pass a filter of ``FILTER_BITS`` bits."""
+    def read(stream):
+        for whole in stream:
+            passed = wanted.value[_places(whole.column("doc_id"), whole.column("_text_key"))]
+            for batch in H.batches(whole.filter(pa.array(passed))):
+                values, offsets = shingle_sets(batch.column("text"))  # none is empty but for a false alarm
+                sizes = np.diff(offsets)
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    kept = np.concatenate([[0], np.cumsum(sizes[some])])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(some)), batch.column("_text_key").take(pa.array(some)), pa.array(sizes[some].astype(np.int32)),
+                         _parities(values, kept), _list_array(values, kept)], ["doc_id", "_text_key", "size", "bits", "shingles"])
+    return read
+
+
+def _marks(stream):
+    for batch in stream:
+        yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column("any_id"), batch.column("any_key")))], ["place"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -147,11 +169,20 @@ def _open_classes(sketched: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, size, bits, shingles`` of the given classes."""
-    rows = _texts(docs)
-    on = rows["doc_id"].eqNullSafe(classes["any_id"]) & (rows["_text_key"] == classes["any_key"])
-    return rows.join(classes, on).select("node", "text").dropDuplicates(["node"]).mapInArrow(
-        _full, "node long, size int, bits array<long>, shingles array<long>")
+    """``node, size, bits, shingles`` of the given classes, a written table.
+
+    A bitmap of the wanted rows, of a fixed size whatever their number, goes to the scan, so that texts nobody asks for
+    are neither split nor shuffled; the join decides about the few that pass by chance.
+    """
+    marks = classes.mapInArrow(_marks, "place long").groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in marks.collect():  # at most FILTER_BITS / 64 rows
+        words[r.word] = r.bits
+    wanted = docs.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool))
+    kind = "doc_id long, _text_key long, size int, bits array<long>, shingles array<long>"
+    found = _texts(docs).mapInArrow(_full(wanted), kind)
+    on = found["doc_id"].eqNullSafe(classes["any_id"]) & (found["_text_key"] == classes["any_key"])
+    return found.join(classes, on).select("node", "size", "bits", "shingles").dropDuplicates(["node"])
 
 
 def _block(size: Column) -> Column:
