@@ -29,6 +29,7 @@ from alertloom.session import cut_lineage, release
 TRAIN_ROWS = 8000
 MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS, MIN_CONTEXT_SHARE = 5, 0.006, 3.0, 0.25
 THRESHOLD = 0.7
+MIN_PRECISION = 0.98  # on the training rows
 PREFIXES = (4, 5, 6, 7)
 # word classes of the grammar, plain values for English, German, French and Spanish
 TARGET = "you your yours he she they him her them du dich dir ihr euch er sie ihn tu toi vous il elle ils tú usted ustedes él ella ellos".split()
@@ -217,6 +218,25 @@ def learn_factors(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3):
     return w
 
 
+def calibrated(weights: np.ndarray, features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """``weights`` with the bias moved so that ``THRESHOLD`` is the lowest score whose precision on the sample is ``MIN_PRECISION``.
+
+    Texts labelled toxic that show nothing the grammar knows pull all scores down; this takes it back. The order of
+    scores stays.
+    """
+    x = weights[0] + features @ weights[1:]
+    order = np.argsort(-x, kind="stable")
+    precise = np.cumsum(toxic[order]) >= MIN_PRECISION * np.arange(1, len(order) + 1)
+    ends = np.append(np.diff(x[order]) != 0, True)  # equal scores fall together
+    good = np.flatnonzero(precise & ends & (toxic[order].cumsum() > 0))
+    if len(good) == 0 or good[-1] + 1 == len(order):
+        return weights
+    cut = (x[order][good[-1]] + x[order][good[-1] + 1]) / 2
+    out = weights.copy()
+    out[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
+    return out
+
+
 def _scores(shared):
     def run(stream):
         lexicon, weights = shared.value
@@ -237,7 +257,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = np.zeros(len(EMITS) + 3)
     if lexicon:
         fit = sample.mapInArrow(_feature_frame(spark.sparkContext.broadcast(lexicon), ["toxic"]), "toxic boolean, features array<double>").collect()
-        weights = learn_factors(np.array([r["features"] for r in fit]), np.array([r["toxic"] for r in fit], float))
+        features, toxic = np.array([r["features"] for r in fit]), np.array([r["toxic"] for r in fit], float)
+        weights = calibrated(learn_factors(features, toxic), features, toxic)
     release(sample)
     shared = spark.sparkContext.broadcast((lexicon, weights))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
