@@ -70,6 +70,12 @@ def _list_array(values, offsets):
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _nodes(values, offsets):
+    """Identity of each of some non-empty sets: a hash of its shingles and their number."""
+    total = np.add.reduceat(H.mix(values * _SET[0]), offsets[:-1])
+    return H.mix(total + np.diff(offsets).astype(H.U64)).view(np.int64)
+
+
 def _sketch(stream):
     for whole in stream:
         for batch in H.batches(whole):
@@ -78,8 +84,7 @@ def _sketch(stream):
             some = np.flatnonzero(size)
             node = np.zeros(len(size), np.int64)
             if len(some):
-                total = np.add.reduceat(H.mix(values * _SET[0]), offsets[some])
-                node[some] = H.mix(total + size[some].astype(H.U64)).view(np.int64)
+                node[some] = _nodes(values, np.concatenate([[0], np.cumsum(size[some])]))
             part = values % H.U64(SAMPLE) == 0
             kept = np.concatenate([[0], np.cumsum(part)])[offsets]
             yield pa.RecordBatch.from_arrays(
@@ -100,33 +105,46 @@ def _parities(values, offsets):
     return _list_array(flat, np.arange(0, len(flat) + 1, WORDS))
 
 
-def _places(doc_id, text_key):
-    """Bit of a row in the filter of wanted texts."""
-    ids = pc.fill_null(doc_id, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(H.U64)
-    keys = text_key.to_numpy(zero_copy_only=False).astype(np.int64).view(H.U64)
-    return (H.mix(ids * _SET[0] + keys) % H.U64(FILTER_BITS)).astype(np.int64)
+def _places(a, b):
+    """Bits of rows in a filter, from two columns of numbers."""
+    a, b = (pc.fill_null(x, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(H.U64) for x in (a, b))
+    return (H.mix(a * _SET[0] + b) % H.U64(FILTER_BITS)).astype(np.int64)
 
 
-def _full(wanted):
-    """The sets of the rows that pass a filter of ``FILTER_BITS`` bits."""
+def _bitmap(rows: DataFrame, a: str, b: str):
+    """A broadcast filter of ``FILTER_BITS`` bits, however many rows there are: true where a row's bit is set."""
+    def mark(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(a), batch.column(b)))], ["place"])
+
+    marks = rows.select(*dict.fromkeys([a, b])).mapInArrow(mark, "place long")
+    marks = marks.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in marks.collect():  # at most FILTER_BITS / 64 rows
+        words[r.word] = r.bits
+    return rows.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool))
+
+
+def _passing(wanted, a, b):
     def read(stream):
-        for whole in stream:
-            passed = wanted.value[_places(whole.column("doc_id"), whole.column("_text_key"))]
-            for batch in H.batches(whole.filter(pa.array(passed))):
-                values, offsets = shingle_sets(batch.column("text"))  # none is empty but for a false alarm
-                sizes = np.diff(offsets)
-                some = np.flatnonzero(sizes)
-                if len(some):
-                    kept = np.concatenate([[0], np.cumsum(sizes[some])])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(some)), batch.column("_text_key").take(pa.array(some)), pa.array(sizes[some].astype(np.int32)),
-                         _parities(values, kept), _list_array(values, kept)], ["doc_id", "_text_key", "size", "bits", "shingles"])
+        for batch in stream:
+            yield batch.filter(pa.array(wanted.value[_places(batch.column(a), batch.column(b))]))
     return read
 
 
-def _marks(stream):
-    for batch in stream:
-        yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column("any_id"), batch.column("any_key")))], ["place"])
+def _full(wanted):
+    """``node, size, bits, shingles`` of the rows that pass a filter."""
+    def read(stream):
+        for whole in _passing(wanted, "doc_id", "_text_key")(stream):
+            for batch in H.batches(whole):
+                values, offsets = shingle_sets(batch.column("text"))
+                sizes = np.diff(offsets)[np.diff(offsets) > 0]  # an empty text may pass by chance
+                if len(sizes):
+                    kept = np.concatenate([[0], np.cumsum(sizes)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_nodes(values, kept)), pa.array(sizes.astype(np.int32)), _parities(values, kept), _list_array(values, kept)],
+                        ["node", "size", "bits", "shingles"])
+    return read
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -164,7 +182,9 @@ def _open_classes(sketched: DataFrame) -> DataFrame:
         alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
         left = open_.join(alone, "node", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(_linkable("size", "_alone"))
         open_ = cut_lineage(left.drop("_alone"))
-        samples = sketched.join(open_.select("node"), "node", "left_semi")
+        # sets that pass by chance only make a shingle look shared
+        samples = sketched.select("node", "sample").where("node IS NOT NULL")
+        samples = samples.mapInArrow(_passing(_bitmap(open_, "node", "node"), "node", "node"), samples.schema)
     return open_.drop("size")
 
 
@@ -174,15 +194,10 @@ def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     A bitmap of the wanted rows, of a fixed size whatever their number, goes to the scan, so that texts nobody asks for
     are neither split nor shuffled; the join decides about the few that pass by chance.
     """
-    marks = classes.mapInArrow(_marks, "place long").groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in marks.collect():  # at most FILTER_BITS / 64 rows
-        words[r.word] = r.bits
-    wanted = docs.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool))
-    kind = "doc_id long, _text_key long, size int, bits array<long>, shingles array<long>"
-    found = _texts(docs).mapInArrow(_full(wanted), kind)
-    on = found["doc_id"].eqNullSafe(classes["any_id"]) & (found["_text_key"] == classes["any_key"])
-    return found.join(classes, on).select("node", "size", "bits", "shingles").dropDuplicates(["node"])
+    wanted = _bitmap(classes, "any_id", "any_key")
+    found = _texts(docs).mapInArrow(_full(wanted), "node long, size int, bits array<long>, shingles array<long>")
+    # join and distinct ask for the same partitioning: the sets are shuffled once
+    return found.join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _block(size: Column) -> Column:
