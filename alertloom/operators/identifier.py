@@ -6,7 +6,7 @@ from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, Str
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from . import metrics as M
+from . import forest as G, metrics as M
 
 PREDICTED = "predicted_attack_type"
 
@@ -47,7 +47,7 @@ def train_identifier(train: DataFrame, test: DataFrame, features, label="label",
     for step in coders + plain + [labels, assembler]:
         prepared = step.transform(prepared)
     prepared = prepared.select("_features", "_label", "weight").persist()
-    fitted = forest.fit(prepared)
+    fitted = G.fit(prepared, forest, len(labels.labels))
     prepared.unpersist()
     # Scoring needs no truth column: the label codes are turned back by name.
     back = IndexToString(inputCol="_prediction", outputCol=PREDICTED, labels=labels.labels)
