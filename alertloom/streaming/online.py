@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..functions.pairs import FEATURE_INPUTS, rule_decision
+from ..functions.pairs import FEATURE_INPUTS, RULE_INPUTS, rule_decision
 from ..operators.bursts import BurstRules, fill_burst_defaults
 from ..operators.correlate import chain_roots, match_links
 from ..operators.ranking import join_on
@@ -109,7 +109,7 @@ class RuleCorrelator:
         open_ = self.tables.before("open", batch, open_schema)
         pool = self.tables.write("pool", batch, open_.withColumn("_new", F.lit(False)).unionByName(
             usable.where(final).withColumns({"cluster_id": F.col("event_id"), "_new": F.lit(True)})))
-        links = match_links(pool, rule_decision(self.minutes), self.window_seconds, keys=["src_ip", "dst_ip"], carry=self.carry, asks=F.col("_new"))
+        links = match_links(pool, rule_decision(self.minutes), self.window_seconds, keys=["src_ip", "dst_ip"], carry=RULE_INPUTS, asks=F.col("_new"))
         roots = chain_roots(links).select(F.col("child").alias("event_id"), F.col("root").alias("_root"))
         named = pool.select(F.col("event_id").alias("_root"), F.col("cluster_id").alias("_of"))
         found = pool.join(roots, "event_id", "left").join(named, "_root", "left").withColumn("cluster_id", F.coalesce("_of", "cluster_id"))
