@@ -3,8 +3,8 @@
 Spark's own forest counts (feature, bin, class) tables of every open node in every partition and shuffles them level by
 level, though most nodes of a deep forest hold a handful of rows. Here that is done for large nodes only. Once a node
 holds at most ``LOCAL_ROWS`` rows, its rows are brought together and one task grows what lies below it, so the work
-follows rows times depth and a shuffle carries each drawn row of a tree once. Bins, bootstrap, feature subsets, gains,
-stopping rules and the merging of equal leaves are those of Spark's classifier, and the result is its model.
+follows rows times depth and a shuffle carries each drawn row of a tree once. Bootstrap, feature subsets, gains,
+stopping rules and the merging of equal leaves follow Spark's classifier, and the result is its model; bounds of bins may differ in detail.
 """
 
 import uuid
