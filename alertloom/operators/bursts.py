@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
-from ..functions.temporal import bin_number, floor_to_bin
+from ..functions.temporal import bin_number, epoch_micros, floor_to_bin
 from ..functions.text import multi_marker
+from ..session import cut_lineage
 from .ranking import join_on, number_rows
 
 
@@ -25,7 +26,8 @@ class BurstRules:
 
     Rows are counted into cells of (bin, column, value), in one shuffle for all voted columns; the cell of no column
     carries what concerns the bin as a whole. Cells of disjoint rows add up, so a stream can count batch by batch.
-    A flood with millions of addresses in one bin is spread over its values.
+    A flood with millions of addresses in one bin is spread over its values. Counting needs numbers only, so Spark hashes
+    and no task sorts its rows; whole rows are carried for those that may be a bin's first.
     """
 
     def __init__(self, schema, group_cols, bin_seconds=S.BURST_BIN_SECONDS, ts_col="timestamp", src_col="src_ip",
@@ -38,42 +40,88 @@ class BurstRules:
         self.has_campaign = self.has_link and "campaign_id" in self.columns
         self.has_prediction = "predicted_attack_type" in self.columns
         self.voted = [src_col, dst_col, *mode_cols] + (["predicted_attack_type"] if self.has_prediction else [])
-        self.keys = [*self.group_cols, "_bin"]
+        self.keys = ["_bin", *self.group_cols]  # sorts by a number first
 
     def cells(self, rows: DataFrame) -> DataFrame:
         """``(*keys, k, v, n, first, link, campaign)`` of rows of large groups."""
+        whole = self._whole(rows)
+        return whole.unionByName(self._votes(rows), allowMissingColumns=True)
+
+    def _binned(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bin", floor_to_bin(F.col(self.ts_col), self.bin_seconds))
+
+    def _votes(self, rows: DataFrame) -> DataFrame:
+        """``(*keys, k, v, n)``: rows of a bin with value ``v`` in the voted column ``k``."""
+        wide = self._binned(rows).select(*self.keys, *[F.col(c).cast("string").alias(f"_v_{c}") for c in self.voted])
+        long = wide.unpivot(self.keys, [f"_v_{c}" for c in self.voted], "k", "v").where("v IS NOT NULL")
+        counted = long.groupBy(*self.keys, "k", "v").agg(F.count(F.lit(1)).alias("n"))
+        return counted.withColumn("k", F.expr("substring(k, 4)"))
+
+    def _place(self) -> Column:
+        """A bigint that never falls along (time, id) inside a bin: microseconds from the bin's start, then as many
+        leading bytes of a text id as there is room for."""
+        span = self.bin_seconds * 1_000_000
+        us = epoch_micros(F.col(self.ts_col))
+        size = (63 - span.bit_length()) // 8 if self.schema[self.id_col].dataType.typeName() == "string" else 0
+        place = F.coalesce(us - F.floor(us / F.lit(span)).cast("long") * F.lit(span), F.lit(0)).cast("long")
+        if size <= 0:
+            return place
+        lead = F.rpad(F.hex(F.substring(F.col(self.id_col).cast("binary"), 1, size)), 2 * size, "0")
+        return place * F.lit(1 << 8 * size) + F.coalesce(F.conv(lead, 16, 10).cast("long"), F.lit(0))
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """The cells of no column. The lowest places of a bin are found by numbers, the first among these by time and
+        id; whole rows are read for the first only."""
+        link = F.coalesce(F.col("is_campaign_link"), F.lit(False)) if self.has_link else F.lit(False)
+        placed = self._binned(rows).withColumns({"_place": self._place(), "_link": link})
+        # a row per bin, written for its true size
+        sizes = cut_lineage(placed.groupBy(*self.keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_link").alias("_any"), F.min("_place").alias("_low"),
+            F.min(F.when(F.col("_link"), F.col("_place"))).alias("_low_link")))
+        either = lambda low, link: F.explode(F.array_distinct(F.array_compact(F.array(low, link))))
+        lowest = sizes.select(*self.keys, "_n", "_any", either("_low", "_low_link").alias("_place"))
         order = F.struct(F.col(self.ts_col).alias("ts"), F.col(self.id_col).alias("id"))
+        at = placed.select(*self.keys, "_place", "_link", order.alias("_at"))
+        firsts = cut_lineage(join_on(at, lowest, [*self.keys, "_place"]).groupBy(*self.keys).agg(
+            F.max("_n").alias("_n"), F.max("_any").alias("_any"), F.min("_at").alias("_first"), F.min(F.when(F.col("_link"), F.col("_at"))).alias("_first_link")))
+        firsts = firsts.select(*self.keys, "_n", "_any", either("_first", "_first_link").alias("_at"))
         carried = F.struct(*[F.col(c) for c in self.columns if c not in self.group_cols])
-        link = F.coalesce(F.col("is_campaign_link"), F.lit(False)) if self.has_link else F.lit(False)
-        campaign = F.when(link, F.struct(order.alias("at"), F.col("campaign_id").alias("of"))) if self.has_campaign else F.lit(None).cast("struct<at:int,of:int>")
-        base = F.struct(F.lit("").alias("k"), F.lit(None).cast("string").alias("v"))
-        votes = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))) for c in self.voted]
-        whole = F.col("_e.k") == ""
-        long = rows.select(
-            *self.group_cols, floor_to_bin(F.col(self.ts_col), self.bin_seconds).alias("_bin"), F.struct(order.alias("at"), carried.alias("row")).alias("_f"),
-            link.alias("_l"), campaign.alias("_c"), F.explode(F.array_compact(F.array(base, *votes))).alias("_e"))
-        return self._folded(long.select(*self.keys, "_e.k", "_e.v", F.lit(1).cast("long").alias("n"), F.when(whole, F.col("_f")).alias("first"),
-                                        (whole & F.col("_l")).alias("link"), F.when(whole, F.col("_c")).alias("campaign")))
-
-    def _folded(self, cells: DataFrame) -> DataFrame:
-        return cells.groupBy(*self.keys, "k", "v").agg(
-            F.sum("n").alias("n"), F.min_by("first", "first.at").alias("first"), F.bool_or("link").alias("link"), F.min_by("campaign", "campaign.at").alias("campaign"))
+        campaign = F.when(F.col("_link"), F.struct(order.alias("at"), F.col("campaign_id").alias("of"))) if self.has_campaign else F.lit(None).cast("struct<at:int,of:int>")
+        few = join_on(placed.withColumn("_at", order), firsts, [*self.keys, "_at"]).select(
+            *self.keys, F.col("_n").alias("n"), F.struct(order.alias("at"), carried.alias("row")).alias("first"), F.col("_any").alias("link"), campaign.alias("campaign"))
+        return few.groupBy(*self.keys).agg(F.max("n").alias("n"), *self._kept()).select(
+            *self.keys, F.lit("").alias("k"), F.lit(None).cast("string").alias("v"), "n", "first", "link", "campaign")
+
+    @staticmethod
+    def _kept() -> list:
+        return [F.min_by("first", "first.at").alias("first"), F.bool_or("link").alias("link"), F.min_by("campaign", "campaign.at").alias("campaign")]
 
     def merged(self, cells: DataFrame) -> DataFrame:
         """Cells of all rows from those of several disjoint sets of rows."""
-        return self._folded(cells)
+        whole = cells.where("k = ''").groupBy(*self.keys, "k", "v").agg(F.sum("n").alias("n"), *self._kept())
+        votes = cells.where("k <> ''").groupBy(*self.keys, "k", "v").agg(F.sum("n").alias("n"))
+        return whole.unionByName(votes, allowMissingColumns=True)
+
+    def collapse(self, rows: DataFrame) -> DataFrame:
+        """``bins`` of the cells of ``rows``."""
+        return self._bins(self._whole(rows), self._votes(rows))
 
     def bins(self, cells: DataFrame) -> DataFrame:
         """The bins' rows in the columns of the input, ``event_count`` and the prediction's agreement."""
-        whole = F.col("k") == ""
-        aggs = [F.max(F.when(whole, F.col("n"))).alias("_n"), F.min_by("first", "first.at").alias("_first"),
+        return self._bins(cells.where("k = ''"), cells.where("k <> ''"))
+
+    def _bins(self, whole: DataFrame, votes: DataFrame) -> DataFrame:
+        # the smallest value wins a tie
+        elected = votes.groupBy(*self.keys, "k").agg(
+            F.count("v").alias("nd"), F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("best"))
+        few = whole.drop("k", "v").unionByName(elected, allowMissingColumns=True)
+        aggs = [F.max("n").alias("_n"), F.min_by("first", "first.at").alias("_first"),
                 F.bool_or("link").alias("_link"), F.min_by("campaign", "campaign.at").alias("_campaign")]
         for c in self.voted:
             mine = F.col("k") == c
-            # the smallest value wins a tie
-            best = F.min(F.when(mine, F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))))
-            aggs += [F.count(F.when(mine, F.col("v"))).alias(f"_nd_{c}"), best["v"].alias(f"_mode_{c}"), (-best["neg"]).alias(f"_top_{c}")]
-        bins = cells.groupBy(*self.keys).agg(*aggs)
+            best = F.max(F.when(mine, F.col("best")))
+            aggs += [F.max(F.when(mine, F.col("nd"))).alias(f"_nd_{c}"), best["v"].alias(f"_mode_{c}"), (-best["neg"]).alias(f"_top_{c}")]
+        bins = few.groupBy(*self.keys).agg(*aggs)
         n_src, n_dst = F.coalesce(f"_nd_{self.src_col}", F.lit(0)), F.coalesce(f"_nd_{self.dst_col}", F.lit(0))
         fans_out = n_src <= n_dst
         new = {
@@ -115,11 +163,12 @@ def aggregate_bursts(df: DataFrame, group_cols, threshold=S.BURST_THRESHOLD, bin
     """Groups of at most ``threshold`` rows pass unchanged; larger ones become one row per bin (see ``BurstRules``)."""
     rules = BurstRules(df.schema, group_cols, bin_seconds, ts_col, src_col, dst_col, id_col, null_cols, mode_cols, bin_id)
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > threshold).select(*group_cols, F.lit(True).alias("_large"))
+    # written for its true size: a few large groups are no reason to shuffle all rows
+    large = cut_lineage(sizes.where(F.col("_rows") > threshold).select(*group_cols, F.lit(True).alias("_large")))
     tagged = join_on(df, large, list(group_cols), "left")
     calm = tagged.where(F.col("_large").isNull()).drop("_large")
     flood = tagged.where(F.col("_large")).drop("_large")
-    return fill_burst_defaults(calm.unionByName(rules.bins(rules.cells(flood)), allowMissingColumns=True))
+    return fill_burst_defaults(calm.unionByName(rules.collapse(flood), allowMissingColumns=True))
 
 
 def fill_burst_defaults(df: DataFrame) -> DataFrame:

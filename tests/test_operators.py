@@ -157,3 +157,25 @@ def test_reconcile_counts_query_has_days_of_one_side(spark, sf_dir):
     want = {(d, orders.get(d, 0), items.get(d, 0)) for d in {*orders, *items} if orders.get(d, 0) != items.get(d, 0)}
     assert {tuple(r) for r in check_queries.reconcile_counts(spark, sf_dir).collect()} == want
     assert any(a == 0 for _, a, _ in want)
+
+def test_bursts_sort_few_rows(spark):
+    """Counting hashes: no sort stands between the rows and their cells, and wide rows are carried for a bin's first only."""
+    rows = spark.createDataFrame(flood_rows(), FLOOD)
+    rules = bursts.BurstRules(rows.schema, ["kind"])
+    plan = rules._votes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+    whole = rules._whole(rows)
+    assert whole.count() == whole.select("kind", "_bin").distinct().count() and whole.agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_bursts_first_row_among_equal_times(spark):
+    """Ids that agree in their leading bytes, are empty or null, and rows without time or votes."""
+    at = T0
+    ids = ["abcdefghij2", "abcdefghij10", "abcdefghij1", "abcdefghij"]
+    rows = [(i, at, None, None, "f", i == ids[0], f"c{i}", None) for i in ids] + [(i, None, "a", None, "f", None, "x", None) for i in ("", None, "z")]
+    out = bursts.aggregate_bursts(spark.createDataFrame(rows, FLOOD), ["kind"], threshold=2).collect()
+    got = {r.timestamp: r for r in out}
+    assert set(got) == {at, None}
+    assert got[at].event_id == "abcdefghij" and got[at].campaign_id == "cabcdefghij2" and got[at].is_campaign_link and got[at].event_count == 4
+    assert got[at].src_ip is None and got[at].dst_ip == "MULTI(n=0)" and got[at].predicted_attack_type is None
+    assert got[None].event_id is None and got[None].event_count == 3 and got[None].campaign_id == "NONE" and not got[None].is_campaign_link
