@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 from .. import schema as S
 from ..functions.temporal import parse_mixed
 
+WRITERS = 200
+ROWS_PER_WRITER = 1_000_000
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -47,12 +50,17 @@ def write_events(df: DataFrame, path: str, rows_per_file=1_000_000, id_col="even
 
     Rows are dealt by ranges of (source, digest of the id), so a source that holds most rows fills many files and
     all files but the last of a source are about equally large; the skewed campaign column is no partition column.
-    Writing the same events again gives the same rows.
+    Above ``WRITERS`` files a task writes several, each of ``rows_per_file`` rows but its last of a source: neither the
+    tasks nor the sample that deals the rows grow with the number of files. Writing the same events again gives the same rows.
     """
     n = df.count()
     files = max(1, -(-n // rows_per_file))
-    dealt = df.repartitionByRange(files, F.col("source_dataset"), F.xxhash64(id_col)) if files > 1 else df.coalesce(1)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_dataset").parquet(path)
+    tasks = min(files, max(WRITERS, -(-n // ROWS_PER_WRITER)))
+    dealt = df.repartitionByRange(tasks, F.col("source_dataset"), F.xxhash64(id_col)) if tasks > 1 else df.coalesce(1)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_dataset")
+    if tasks < files:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode="overwrite") -> None:

@@ -170,3 +170,17 @@ def test_null_labels_stay_labels(spark):
     cells = metrics.confusion(df, "t", "p")
     assert {(r.true_label, r.predicted_label): r.share for r in metrics.row_normalized(cells).collect()} == {("a", "a"): 1.0, (None, "a"): 0.5, (None, None): 0.5}
     assert metrics.dense_confusion(cells).count() == 4
+
+
+def test_many_files_need_few_tasks(spark, tmp_path, monkeypatch):
+    """A task writes several files once there are more than ``WRITERS``; no file is larger than asked for."""
+    monkeypatch.setattr(tables, "WRITERS", 3)
+    path = str(tmp_path / "events")
+    events = spark.range(1000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("source_dataset"))
+    for _ in range(2):
+        tables.write_events(events, path, 20)
+    back = tables.read_events(spark, path)
+    assert sorted(map(tuple, back.select(*events.columns).collect())) == sorted(map(tuple, events.collect()))
+    files = back.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) >= 50 and max(r["count"] for r in files) <= 20
+    assert len({r.f.split("/")[-1].split("-")[1] for r in files}) <= 3
