@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from .. import schema as S
 from ..functions.temporal import parse_mixed
+from ..session import cut_lineage, release
 
 WRITERS = 200
 ROWS_PER_WRITER = 1_000_000
@@ -77,7 +78,10 @@ def write_reconstruction(events: DataFrame, assignments: dict, path: str) -> Non
     for method, assignment in assignments.items():
         named = assignment.select("event_id", F.col("cluster_id").alias(f"{method}_predicted_cluster"))
         out = out.join(named, "event_id", "left")
-    write_events(out, path)
+    # counted, sampled for its ranges and written: joined once
+    joined = cut_lineage(out)
+    write_events(joined, path)
+    release(joined)
 
 
 def write_metrics(scores: DataFrame, completeness: DataFrame, path: str, mode="overwrite") -> None:

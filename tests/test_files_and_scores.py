@@ -184,3 +184,15 @@ def test_many_files_need_few_tasks(spark, tmp_path, monkeypatch):
     files = back.groupBy(F.input_file_name().alias("f")).count().collect()
     assert len(files) >= 50 and max(r["count"] for r in files) <= 20
     assert len({r.f.split("/")[-1].split("-")[1] for r in files}) <= 3
+
+
+def test_evaluation_joins_clusters_once(spark, tmp_path, monkeypatch):
+    """The sink gets a written table, since it counts, samples and writes; unassigned events stay and are told from null clusters."""
+    given = []
+    monkeypatch.setattr(tables, "write_events", lambda df, path: given.append((hasattr(df, "_cut_path"), df.count())))
+    events = spark.createDataFrame([("e1", "c1", "recon"), ("e2", "c1", "recon"), ("e3", "c2", "recon")], "event_id string, campaign_id string, kill_chain_stage string")
+    found = spark.createDataFrame([("e1", "k"), ("e2", None)], "event_id string, cluster_id string")
+    tables.write_reconstruction(events, {"one": found}, str(tmp_path))
+    assert given == [(True, 3)]
+    attached = {r.event_id: (r.cluster_id, r._assigned) for r in evaluation.attach_once(events, found).collect()}
+    assert attached == {"e1": ("k", True), "e2": (None, True), "e3": (None, None)}
