@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.temporal import TILE_SECONDS, cover, tiles_of
 from alertloom.functions.trees import forest_decision, forest_probability
-from alertloom.operators import checks, history, linker, metrics, sampling
+from alertloom.operators import checks, history, linker, metrics, pairing, sampling
 from alertloom.plans import evaluation
 from alertloom.plans.alerts import alerts
 from alertloom.sources import flows, tables
@@ -124,6 +124,25 @@ def test_history_is_made_written_and_read(spark, sf_dir, tmp_path):
     assert set(by) == {1, 3, 9} and (r.first_mean, r.last_reward) == (by[1].f1, by[9].reward)
 
 
+def test_history_judges_all_checkpoints_in_one_pass(spark, sf_dir, monkeypatch):
+    """One tally of the held-out pairs, with the outcomes of every checkpoint's own model."""
+    events = alerts(spark, sf_dir)
+    split = sampling.campaign_split(events)
+    tally, passes = linker.evaluate_linker, []
+    monkeypatch.setattr(linker, "evaluate_linker", lambda *a, **k: passes.append(a) or tally(*a, **k))
+    made = linker.training_history(events, split, (9, 1, 1))
+    columns = ["campaign_id", "n_steps", "tp", "fp", "fn", "tn"]
+    found = sorted(map(tuple, made.select("checkpoint", *columns).collect()))
+    assert len(passes) == 1
+    _, held_out = linker.train_and_validate(events, split)
+    pairs = pairing.training_pairs(events).join(split.where("split = 'train'"), "campaign_id", "left_semi")
+    want = []
+    for n in (9, 1, 1):
+        alone = tally(linker.train_linker(pairs, max_iter=n), held_out, ["campaign_id"])
+        want += [(n, *r) for r in alone.select(*columns).collect()]
+    assert found == sorted(want) and len({r[3] for r in found}) > 1
+
+
 def test_score_decision_prefers_no_link_in_a_tie(spark):
     from alertloom.functions.pairs import score_decision
 

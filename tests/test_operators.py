@@ -142,6 +142,64 @@ def test_pools_are_whole_and_bounded(spark):
     assert len(pairs) == len([r for r in pool if (r.timestamp, r.event_id) > (camp[0][1], camp[0][0])])
 
 
+def campaign_rows(spark):
+    """Crowded moments, events without a time, an id or a campaign, rows that come twice, a campaign of one event."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, *(f"e{i}" for i in range(300))]), rnd.choice([None] + [T0 + dt.timedelta(minutes=rnd.randrange(3000))] * 9),
+             rnd.choice(["a", "b", "NONE", None])) for _ in range(300)]
+    rows += [(f"x{i}", T0 + dt.timedelta(minutes=9 + i // 40), "big") for i in range(400)] + [("only", T0, "one")]
+    rows = [(i, at, c, at and at.date()) for i, at, c in rows + rows[:50]]
+    df = spark.createDataFrame(rows, "event_id string, timestamp timestamp_ntz, campaign_id string, day date")
+    return rows, df.withColumns({c: F.lit("x") for c in ("src_ip", "dst_ip", "service", "predicted_attack_type", "predicted_kill_chain_stage")})
+
+
+def nulls_first(*values):
+    return [(v is not None, v if v is not None else 0) for v in values]
+
+
+def test_spans_are_found_by_hashing(spark, monkeypatch):
+    """No sort sees all events of a campaign; the first event is that of the order, without a time first."""
+    rows, df = campaign_rows(spark)
+    written, cut = [], pairing.campaign_spans.__globals__.get("cut_lineage")
+    monkeypatch.setattr(pairing, "cut_lineage", lambda x: written.append(x._jdf.queryExecution().executedPlan().toString()) or cut(x), raising=False)
+    found = {r.campaign_id: (r.n_events, r.first_id, r.day, r.start, r.end) for r in pairing.campaign_spans(df).collect()}
+    want = {}
+    for c in ("a", "b", "big"):
+        own = sorted((r for r in rows if r[2] == c), key=lambda r: nulls_first(r[1], r[0], r[3]))
+        want[c] = (len(own), own[0][0], own[0][3], own[0][1], max(r[1] for r in own if r[1]))
+    assert found == want
+    assert written and "HashAggregate" in written[0] and "Sort" not in written[0]
+
+
+def test_low_digests_are_counted_not_sorted(spark):
+    rows, df = campaign_rows(spark)
+    hashed = df.where("campaign_id <> 'NONE' AND event_id IS NOT NULL").withColumn("_h", F.md5(F.concat(F.lit("42|"), "event_id")))
+    for k in (1, 35, 1000):
+        low = pairing._low_digests(hashed, k)
+        kept = collections.Counter((r.campaign_id, r._h) for r in low.collect())
+        for c in ("a", "b", "big", "one"):
+            every = sorted(hashlib.md5(f"42|{r[0]}".encode()).hexdigest() for r in rows if r[2] == c and r[0] is not None)
+            mine = sorted(kept_h for (camp, kept_h), n in kept.items() if camp == c for _ in range(n))
+            assert mine == every[:len(mine)] and min(k, len(every)) <= len(mine) <= k + 12
+        assert "Sort" not in low._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_pairs_take_the_latest_member(spark):
+    """Members and distractors in ranges that Spark draws, against the plain order."""
+    rows, df = campaign_rows(spark)
+    rows = [r for r in rows if r[0] is not None]
+    found = pairing.whole_pairs(df.where("event_id IS NOT NULL"), spark.createDataFrame([("big",)], "campaign_id string"))
+    camp = [r for r in rows if r[2] == "big"]
+    start, end = min(r[1] for r in camp), max(r[1] for r in camp) + dt.timedelta(minutes=30)
+    pool = [(*r[:2], True) for r in camp] + [(*r[:2], False) for r in rows if r[2] == "NONE" and r[1] and r[3] == start.date() and start <= r[1] <= end]
+    anchor, want = None, []
+    for i, at, member in sorted(pool, key=lambda r: (r[1], r[0])):
+        if anchor is not None:
+            want.append((anchor, i, member))
+        anchor = i if member else anchor
+    assert sorted((r.anchor_id, r.candidate_id, r.true_link) for r in found.collect()) == sorted(want) and len(want) > 399
+
+
 def test_reconcile_counts_absent_keys_as_zero(spark):
     left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, n_list long")
     right = spark.createDataFrame([("a", 1), ("b", 5), ("d", 6), (None, 7)], "k string, n_xml long")
