@@ -5,25 +5,35 @@ level, though most nodes of a deep forest hold a handful of rows. Here that is d
 holds at most ``LOCAL_ROWS`` rows, its rows are brought together and one task grows what lies below it, so the work
 follows rows times depth and a shuffle carries each drawn row of a tree once. Bootstrap, feature subsets, gains,
 stopping rules and the merging of equal leaves follow Spark's classifier, and the result is its model; bounds of bins may differ in detail.
+
+Spark's model keeps every node in the driver and in a broadcast. A forest of more than ``HELD_NODES`` nodes stays written:
+``WrittenForest`` deals blocks of rows and a few trees at a time to tasks, adds up their votes, and holds no tree itself.
 """
 
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage, delete_on_exit, release, shared_dir
+from ..session import copy_folder, cut_lineage, delete_on_exit, release, shared_dir
 
 LOCAL_ROWS = 50_000
 SAMPLED = 10_000  # rows from which the bins are taken, as many as in Spark's forest
 OPEN_NODES = 4_000  # tables of one pass
 TABLE_MB = 1024  # tables of a level that are left to Spark's trainer
+HELD_NODES = 100_000  # nodes of a forest that the driver may hold
+CHUNK_MB = 16  # trees that vote in one task
+GROUP_ROWS = 200_000  # rows that they vote on there
 TOGETHER = 32  # small nodes whose tables are made in one step
 NODES = ("tree int, node long, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, "
          "feature int, cut int")
+TREES = "tree int, feature binary, cut binary, left binary, right binary, votes binary, nodes long, importances array<double>"
 POISSON = np.cumsum([np.exp(-1)] + [np.exp(-1) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(1, 17)])
 
 
@@ -153,13 +163,17 @@ def _codes(column, features):
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, features)
 
 
+def _digits(column, bounds):
+    """The bins of each row: as many as there are thresholds below its value."""
+    x = np.stack(column.to_numpy()) if len(column) else np.empty((0, len(bounds)))
+    return np.stack([np.searchsorted(t, x[:, i], side="left") for i, t in enumerate(bounds)], 1).astype(np.uint8)
+
+
 def _binned(rows: DataFrame, bounds) -> DataFrame:
     """(id, label, weight, codes): each row with its bins as bytes."""
     def digitize(batches):
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.empty((0, len(bounds)))
-            codes = np.stack([np.searchsorted(t, x[:, i], side="left") for i, t in enumerate(bounds)], 1).astype(np.uint8)
-            yield b[["id", "label", "weight"]].assign(codes=[c.tobytes() for c in codes])
+            yield b[["id", "label", "weight"]].assign(codes=[c.tobytes() for c in _digits(b["x"], bounds)])
     named = rows.select(F.monotonically_increasing_id().alias("id"), F.col("_label").cast("int").alias("label"), "weight", vector_to_array("_features").alias("x"))
     return cut_lineage(named.mapInPandas(digitize, "id long, label int, weight double, codes binary"))
 
@@ -215,24 +229,29 @@ def _below(rows: DataFrame, shape: Shape, splits, done) -> DataFrame:
     return spread.groupBy("tree", "top").applyInPandas(grown, NODES)
 
 
+def _pruned(group):
+    """The nodes of a tree in order, with their places from 0: (nodes, feature, kept, place, left, right). Sibling leaves of
+    one class are merged; ``feature`` and ``left`` and ``right``, the places of the children, are -1 at leaves."""
+    group = group.sort_values("node", ignore_index=True)
+    node, feature, prediction = group["node"].to_numpy(), group["feature"].to_numpy().copy(), group["prediction"].to_numpy()
+    kept = np.ones(len(group), dtype=bool)
+    a = np.minimum(np.searchsorted(node, 2 * node), len(node) - 1)  # children stand side by side
+    b = np.minimum(a + 1, len(node) - 1)
+    for i in reversed(np.flatnonzero(feature >= 0)):
+        if feature[a[i]] < 0 and feature[b[i]] < 0 and prediction[a[i]] == prediction[b[i]]:
+            feature[i], kept[a[i]], kept[b[i]] = -1, False, False
+    place = np.cumsum(kept) - 1
+    return group, feature, kept, place, np.where(feature >= 0, place[a], -1), np.where(feature >= 0, place[b], -1)
+
+
 def _numbered(nodes: DataFrame, bounds) -> DataFrame:
     """``treeID, nodeData`` as Spark saves a forest: nodes from 0 in each tree, sibling leaves of one class merged."""
     def tree(group):
-        group = group.sort_values("node", ignore_index=True)
-        row = {n: i for i, n in enumerate(group["node"])}
-        feature, prediction, gone = group["feature"].to_numpy().copy(), group["prediction"].to_numpy(), np.zeros(len(group), dtype=bool)
-        for n, i in reversed(row.items()):
-            if feature[i] >= 0:
-                a, b = row[2 * n], row[2 * n + 1]
-                if feature[a] < 0 and feature[b] < 0 and prediction[a] == prediction[b]:
-                    feature[i], gone[a], gone[b] = -1, True, True
-        ids = np.cumsum(~gone) - 1
-        inner = feature >= 0
-        child = lambda side: [int(ids[row[2 * n + side]]) if s else -1 for n, s in zip(group["node"], inner)]
+        group, feature, kept, place, left, right = _pruned(group)
         cuts = [[float(bounds[f][c])] if f >= 0 else [] for f, c in zip(feature, group["cut"])]
         out = group[["tree", "prediction", "impurity", "impurityStats", "rawCount"]].assign(
-            id=ids, gain=np.where(inner, group["gain"], -1.0), left=child(0), right=child(1), feature=feature, cuts=cuts)
-        return out[~gone]
+            id=place, gain=np.where(feature >= 0, group["gain"], -1.0), left=left, right=right, feature=feature, cuts=cuts)
+        return out[kept]
     flat = nodes.groupBy("tree").applyInPandas(tree, "tree int, prediction double, impurity double, impurityStats array<double>, rawCount long, "
                                                "id int, gain double, left int, right int, feature int, cuts array<double>")
     split = F.struct(F.col("feature").alias("featureIndex"), F.col("cuts").alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
@@ -240,6 +259,123 @@ def _numbered(nodes: DataFrame, bounds) -> DataFrame:
     return flat.select(F.col("tree").alias("treeID"), data.alias("nodeData"))
 
 
+def _packed(nodes: DataFrame, features: int) -> DataFrame:
+    """A row per tree: its pruned nodes as bytes (feature, cut, children; a leaf's left child is its row of ``votes``), the
+    class shares of its leaves, how many nodes it has, and its feature importances, which add up to 1 if it splits."""
+    def tree(group):
+        group, feature, kept, _, left, right = _pruned(group)
+        stats = np.stack(group["impurityStats"].to_numpy())
+        gain = np.bincount(feature[feature >= 0], (group["gain"].to_numpy() * stats.sum(1))[feature >= 0], features)
+        feature, left, right, cut, stats = feature[kept], left[kept], right[kept], group["cut"].to_numpy()[kept], stats[kept]
+        leaf = feature < 0
+        left = np.where(leaf, np.cumsum(leaf) - 1, left)
+        total = stats[leaf].sum(1, keepdims=True)
+        votes = stats[leaf] / np.where(total > 0, total, 1)
+        flat = [x.astype(np.int32).tobytes() for x in (feature, cut, left, right)]
+        return pd.DataFrame([(int(group["tree"].iloc[0]), *flat, votes.tobytes(), len(feature), gain / (gain.sum() or 1))],
+                            columns=["tree", "feature", "cut", "left", "right", "votes", "nodes", "importances"])
+    return nodes.groupBy("tree").applyInPandas(tree, TREES)
+
+
+def _votes(codes, tree, classes: int):
+    """The class shares of the leaf that each row falls into."""
+    feature, cut, left, right = (np.frombuffer(tree[c], dtype=np.int32) for c in ("feature", "cut", "left", "right"))
+    at, going = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
+    while len(going := going[feature[at[going]] >= 0]):
+        here = at[going]
+        at[going] = np.where(codes[going, feature[here]] > cut[here], right[here], left[here])
+    return np.frombuffer(tree["votes"]).reshape(-1, classes)[left[at]]
+
+
+class WrittenForest(Model, MLWritable, MLReadable):
+    """A forest that stays in its folder, which holds it as Spark saves one and, under ``packed``, tree by tree.
+
+    It scores and weighs features like Spark's model of the same nodes; the votes are added up in parts of trees, so sums
+    may differ from Spark's in the last digit. ``in_driver`` loads Spark's model for whoever has the memory."""
+
+    def __init__(self, path: str, facts: dict):
+        super().__init__()
+        self.path, self.facts = path, facts
+
+    def _trees(self) -> DataFrame:
+        from pyspark.sql import SparkSession
+        return SparkSession.getActiveSession().read.schema(TREES).parquet(f"{self.path}/packed")
+
+    def in_driver(self) -> RandomForestClassificationModel:
+        return RandomForestClassificationModel.load(self.path)
+
+    @property
+    def totalNumNodes(self) -> int:
+        return self.facts["nodes"]
+
+    @property
+    def featureImportances(self):
+        rows = self._trees().select("tree", "importances").orderBy("tree").collect()
+        total = np.sum([r.importances for r in rows], axis=0)
+        return Vectors.dense(total / (total.sum() or 1))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        classes, bounds, columns = self.facts["classes"], [np.array(b) for b in self.facts["bounds"]], self.facts["columns"]
+        rows = cut_lineage(dataset.withColumn("_row", F.monotonically_increasing_id()))
+        groups, parts = max(1, -(-rows.count() // GROUP_ROWS)), min(self.facts["trees"], max(1, int(self.facts["mb"] // CHUNK_MB) + 1))
+
+        def block(batches):
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame([(b["_row"].iloc[0], b["_row"].to_numpy().tobytes(), _digits(b["x"], bounds).tobytes())], columns=["block", "ids", "codes"])
+
+        def vote(blocks, trees):
+            trees = trees.sort_values("tree")
+            out = []
+            for b in blocks.itertuples():
+                codes = np.frombuffer(b.codes, dtype=np.uint8).reshape(-1, len(bounds))
+                total = np.zeros((len(codes), classes))
+                for _, t in trees.iterrows():
+                    total += _votes(codes, t, classes)
+                out.append((b.block, b.part, b.ids, total.tobytes()))
+            return pd.DataFrame(out, columns=["block", "part", "ids", "raw"])
+
+        def total(group):
+            group = group.sort_values("part")
+            raw = sum(np.frombuffer(x).reshape(-1, classes) for x in group["raw"])
+            return pd.DataFrame({"_row": np.frombuffer(group["ids"].iloc[0], dtype=np.int64), "raw": list(raw), "prediction": raw.argmax(1).astype(float)})
+
+        blocks = rows.select("_row", vector_to_array(columns["features"]).alias("x")).mapInPandas(block, "block long, ids binary, codes binary")
+        blocks = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        # neighbouring trees stand together, so that votes are added up in their order
+        part = F.floor(F.col("tree") * parts / self.facts["trees"]).cast("int")
+        trees = self._trees().drop("importances", "nodes").select("*", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+        voted = blocks.groupBy("group", "part").cogroup(trees.groupBy("group", "part")).applyInPandas(vote, "block long, part int, ids binary, raw binary")
+        found = voted.groupBy("block").applyInPandas(total, "_row long, raw array<double>, prediction double")
+        share = F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda s, y: s + y))
+        found = found.select("_row", array_to_vector("raw").alias(columns["raw"]), array_to_vector(share).alias(columns["probability"]),
+                             F.col("prediction").alias(columns["prediction"]))
+        return rows.join(found, "_row").drop("_row")
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, forest: WrittenForest):
+        super().__init__()
+        self.forest = forest
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.forest, path, self.sparkSession, extraMetadata={"facts": self.forest.facts})
+        copy_folder(self.sparkSession, self.forest.path, f"{path}/forest")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> WrittenForest:
+        forest = WrittenForest(f"{path}/forest", (metadata := DefaultParamsReader.loadMetadata(path, self.sparkSession))["facts"])
+        return forest._resetUid(metadata["uid"])
+
+
 def table_mb(rows: DataFrame, estimator: RandomForestClassifier, classes: int) -> float:
     """Tables of the widest level that Spark's trainer may meet: at most a node per ``minInstancesPerNode`` rows."""
     get, features = estimator.getOrDefault, len((rows.select("_features").first() or [[]])[0])
@@ -247,14 +383,15 @@ def table_mb(rows: DataFrame, estimator: RandomForestClassifier, classes: int) -
     return nodes * np.ceil(np.sqrt(features)) * get("maxBins") * classes * 8 / 1e6
 
 
-def fit(rows: DataFrame, estimator: RandomForestClassifier, classes: int) -> RandomForestClassificationModel:
+def fit(rows: DataFrame, estimator: RandomForestClassifier, classes: int):
     """Spark's own trainer while a level of its tables fits its memory, ``fit_forest`` for more."""
     small = table_mb(rows, estimator, classes) <= min(TABLE_MB, estimator.getMaxMemoryInMB())
     return estimator.fit(rows) if small else fit_forest(rows, estimator, classes)
 
 
-def fit_forest(rows: DataFrame, estimator: RandomForestClassifier, classes: int) -> RandomForestClassificationModel:
-    """What ``estimator.fit`` means, for rows ``(_features, _label, weight)``; its trees are drawn with other random numbers."""
+def fit_forest(rows: DataFrame, estimator: RandomForestClassifier, classes: int):
+    """What ``estimator.fit`` means, for rows ``(_features, _label, weight)``; its trees are drawn with other random numbers.
+    A forest too large for the driver is a ``WrittenForest``."""
     spark, get = rows.sparkSession, estimator.getOrDefault
     bounds = bin_bounds(rows, get("maxBins"), get("seed"))
     shape = Shape(len(bounds), classes, get("maxBins"), get("numTrees"), get("maxDepth"), get("minInstancesPerNode"), get("seed"))
@@ -283,6 +420,12 @@ def fit_forest(rows: DataFrame, estimator: RandomForestClassifier, classes: int)
     delete_on_exit(spark, path)
     frame.write().overwrite().save(path)
     _numbered(nodes, bounds).write.mode("overwrite").parquet(f"{path}/data")
-    model = RandomForestClassificationModel.load(path)
+    if nodes.count() <= HELD_NODES:
+        model = RandomForestClassificationModel.load(path)
+    else:
+        _packed(nodes, shape.features).write.parquet(f"{path}/packed")
+        size = spark.read.parquet(f"{path}/packed").agg(F.sum("nodes"), F.sum(F.length("votes") + 4 * F.length("cut"))).first()
+        columns = {k: get(f"{c}Col") for k, c in (("features", "features"), ("raw", "rawPrediction"), ("probability", "probability"), ("prediction", "prediction"))}
+        model = WrittenForest(path, {"classes": classes, "bounds": [[float(x) for x in b] for b in bounds], "columns": columns, "trees": shape.trees, "nodes": size[0], "mb": size[1] / 1e6})
     release(binned, nodes)
     return model
